@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, near_dup, quality, secret_scan, urls
+from quillon.llm import mixing, near_dup, quality, secret_scan, substring, urls
 from quillon.llm.common import table
 
 
@@ -26,12 +26,16 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(table(spark, sf_dir, "documents"), width=35, digest=True)
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_near_dup, op4_secrets, op7_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_near_dup, op4_secrets, op6_substring, op7_urls)}
 
 
 OP1 = r"""

@@ -1,0 +1,67 @@
+import hashlib
+import random
+import re
+from collections import Counter
+
+import pyarrow.parquet as pq
+import pytest
+
+from quillon.llm import substring
+
+
+def brute(rows, width):
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    seen = Counter(tuple(w[i : i + width]) for w in words for i in range(len(w) - width + 1))
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = set()
+        for p in range(len(w) - width + 1):
+            if seen[tuple(w[p : p + width])] > 1:
+                gone |= set(range(p, p + width))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def run(df, width):
+    return sorted(map(tuple, substring.without_repeats(df, width=width, digest=True).collect()), key=repr)
+
+
+@pytest.mark.parametrize("width", [12, 35])
+def test_passages_match_brute_force(spark, width):
+    rng = random.Random(width)
+    word = lambda: f"w{rng.randrange(50 if width == 12 else 3000)}"
+    passages = [[word() for _ in range(rng.randrange(width - 3, width * 3))] for _ in range(12)]
+    rows = []
+    for i in range(120):
+        t = []
+        for _ in range(rng.randrange(6)):
+            t += [word() for _ in range(rng.randrange(0, 40))]
+            p = list(rng.choice(passages))
+            if rng.random() < 0.4:
+                p[rng.randrange(len(p))] = "Edited"
+            t += p
+        rows.append((i, rng.choice([" ", "\n", " \t"]).join(t)))
+    rows += [(200, " ".join(["same"] * 90)), (201, " ".join(["a", "b"] * 40)), (202, None), (203, ""), (204, " é É "), (7, rows[7][1]), (None, rows[3][1]), (205, " ".join(f"u{i}" for i in range(40_000)))]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_words int").repartition(5)
+    assert run(df, width) == brute(rows, width)
+
+
+def test_empty_table(spark):
+    assert run(spark.createDataFrame([], "doc_id long, text string"), 35) == []
+
+
+def test_driver_documents_match_brute_force(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = [(r["doc_id"], r["text"]) for r in pq.read_table(path, columns=["doc_id", "text"]).to_pylist()]
+    assert run(spark.read.parquet(path), 35) == brute(rows, 35)
+
+
+def test_spans_are_compacted(spark):
+    passage = " ".join(f"p{i}" for i in range(200))
+    df = spark.createDataFrame([(1, f"x y {passage}"), (2, f"{passage} z")], "doc_id long, text string")
+    runs = substring.document_runs(df, 35, 8)
+    rows = substring.repeated_spans(df, runs, 35).collect()
+    paths = [[s for s in substring.compact([x.asDict() for x in r.spans]) if s[2] is not None] for r in rows]
+    assert len(rows) == 2 and all(len(p) == 1 for p in paths)
+    assert paths[0][0][2] == paths[1][0][2]
