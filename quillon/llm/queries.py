@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import mixing, near_dup, quality, secret_scan, substring, urls
+from quillon.llm import decontam, mixing, near_dup, quality, secret_scan, substring, urls
 from quillon.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"), width=35, digest=True)
 
@@ -35,7 +39,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_near_dup, op4_secrets, op6_substring, op7_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_near_dup, op4_secrets, op5_decontam, op6_substring, op7_urls)}
 
 
 OP1 = r"""
@@ -87,6 +91,27 @@ SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT)
 FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source
 """
 
+OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+bl AS (SELECT item, w, least(length(w), 10) AS n FROM b WHERE length(w) > 0),
+bs AS (SELECT item, w, n, unnest(range(1, length(w) - n + 2)) AS s FROM bl),
+bw AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win FROM bs),
+sizes AS (SELECT DISTINCT n FROM bw),
+dp AS (SELECT rid, n, w, unnest(range(1, length(w) - n + 2)) AS s FROM d, sizes WHERE length(w) >= n),
+dw AS (SELECT rid, n, s, array_to_string(list_slice(w, s, s + n - 1), ' ') AS win FROM dp),
+h AS (SELECT rid, s, dw.n, item FROM dw JOIN bw ON bw.win = dw.win AND bw.n = dw.n),
+hp AS (SELECT DISTINCT rid, s, n FROM h),
+hw AS (SELECT rid, unnest(range(s, s + n)) AS p FROM hp),
+hits AS (SELECT rid, count(DISTINCT p) AS n_hit FROM hw GROUP BY rid),
+its AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT d.doc_id, CAST(length(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits ON hits.rid = d.rid LEFT JOIN its ON its.rid = d.rid
+"""
+
 OP7 = r"""
 WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, coalesce(url, '') AS url, regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1) AS raw, coalesce(rest, '') AS rest FROM a),
@@ -108,4 +133,4 @@ FROM c LEFT JOIN f ON f.page_id = c.page_id LEFT JOIN t ON t.page_id = c.page_id
 def oracle_sql() -> dict[str, str]:
     terms = [*((t, "NULL") for t in urls.STRICT), *((t, w) for t, w in urls.SOFT.items())]
     op7 = OP7.replace("{terms}", ", ".join(f"('{t}', CAST({w} AS DOUBLE))" for t, w in terms))
-    return {"op1_mixing": OP1, "op2_quality": OP2, "op7_urls": op7}
+    return {"op1_mixing": OP1, "op2_quality": OP2, "op5_decontam": OP5, "op7_urls": op7}
