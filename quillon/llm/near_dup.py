@@ -153,18 +153,23 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int, step: float =
     need = lambda n, m: F.ceil((F.lit(percent) * (n + m)).cast("double") / (100 + percent) - 1e-9)
     n, alone = F.col("n"), F.col("n") - F.size("shared")  # tokens that no other set has come first
     short = F.greatest(n - need(n, n) + 1 - alone, F.lit(0)).cast("int")
-    index = rows.filter(short > 0).select("cls", "label", "n", log(n).alias("size_class"), F.explode(F.slice("shared", 1, short)).alias("t"))
+    entry = lambda size: F.posexplode(F.slice("shared", 1, size)).alias("i", "t")
+    index = rows.filter(short > 0).select("cls", "label", "n", log(n).alias("size_class"), alone.alias("alone"), entry(short))
     classes = F.sequence(log(F.ceil(n * percent / 100.0 - 1e-9)), log(n))
     least = F.greatest(F.ceil(F.pow(F.lit(step), F.col("size_class")) - 1e-6), F.ceil(n * percent / 100.0 - 1e-9)).cast("long")
     long = F.greatest(n - need(n, least) + 1 - alone, F.lit(0)).cast("int")
-    probe = rows.select("*", F.explode(classes).alias("size_class")).filter(long > 0).select("cls", "label", "n", "size_class", F.explode(F.slice("shared", 1, long)).alias("t"))
-    keyed = lambda df, p: df.select(F.col("t.token").alias("token"), "size_class", F.col("cls").alias(p), F.col("label").alias(f"l{p}"), F.col("n").alias(f"n{p}"))
+    probe = rows.select("*", F.explode(classes).alias("size_class")).filter(long > 0).select("cls", "label", "n", "size_class", alone.alias("alone"), entry(long))
+    # rest: tokens from this one on, the most that a pair whose first shared token it is can share
+    keyed = lambda df, p: df.select(
+        F.col("t.token").alias("token"), "size_class", F.col("cls").alias(p), F.col("label").alias(f"l{p}"), F.col("n").alias(f"n{p}"), (n - F.col("alone") - F.col("i")).alias(f"rest_{p}")
+    )
     one, two = keyed(index, "a"), keyed(probe, "b")
     met = one.select("token", "size_class", F.col("la").alias("l")).union(two.select("token", "size_class", "lb"))
     met = met.groupBy("token", "size_class").agg(F.min("l").alias("lo"), F.max("l").alias("hi")).filter("lo <> hi").select("token", "size_class")
     key = ["token", "size_class"]
-    pairs = one.join(met, key).join(two.join(met, key), key).filter("la <> lb AND na <= nb")
-    return pairs.filter(F.lit(100) * F.col("na") >= F.lit(percent) * F.col("nb")).select("a", "b").distinct()
+    able = F.least("rest_a", "rest_b") * (100 + percent) >= F.lit(percent) * (F.col("na") + F.col("nb"))
+    pairs = one.join(met, key).join(two.join(met, key), key).filter(F.expr("la <> lb AND na <= nb") & able)
+    return pairs.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
