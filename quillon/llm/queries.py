@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontam, mixing, near_dup, quality, secret_scan, substring, urls
+from quillon.llm import decontam, langid, mixing, near_dup, quality, secret_scan, substring, token_counts, urls
 from quillon.llm.common import table
 
 
@@ -38,8 +38,16 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_near_dup, op4_secrets, op5_decontam, op6_substring, op7_urls)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_near_dup, op4_secrets, op5_decontam, op6_substring, op7_urls, op9_language, op10_token_counts)}
 
 
 OP1 = r"""
