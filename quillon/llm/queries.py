@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontam, langid, mixing, near_dup, quality, secret_scan, substring, token_counts, urls
+from quillon.llm import decontam, html_extract, langid, mixing, near_dup, quality, secret_scan, substring, token_counts, urls
 from quillon.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_near_dup, op4_secrets, op5_decontam, op6_substring, op7_urls, op9_language, op10_token_counts)}
+    return {f.__name__: f for f in (op1_mixing, op2_quality, op3_near_dup, op4_secrets, op5_decontam, op6_substring, op7_urls, op8_main_text, op9_language, op10_token_counts)}
 
 
 OP1 = r"""

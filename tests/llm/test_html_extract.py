@@ -1,0 +1,64 @@
+import html
+import re
+import statistics
+
+import pytest
+
+from quillon.llm import html_extract as h
+from quillon.llm import page_maker
+
+
+@pytest.fixture(scope="module")
+def trees():
+    return h.trained()
+
+
+def test_generated_pages_that_were_not_fitted(trees):
+    scores = []
+    for page, _ in page_maker.labelled_pages(200, 4321):
+        nodes, pieces = h.parse(page)
+        main = [w for w in h.text_of(pieces, [True] * len(nodes)).split() if page_maker.MARK in w]
+        got = h.extract([page], trees)[0].split()
+        hit = sum(page_maker.MARK in w for w in got)
+        scores.append(2 * hit / (len(got) + len(main)))
+    assert statistics.mean(scores) > 0.95
+    assert sum(s == 1 for s in scores) > 0.8 * len(scores)
+
+
+def test_driver_pages_give_the_article_exactly(spark, trees):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r.page_id: r for r in h.main_text(pages, trees).collect()}
+    for r in pages.collect():
+        article = re.search(r"<article>(.*?)</article>", r.html, re.S)[1]
+        want = " ".join(html.unescape(re.sub(r"<[^>]+>", lambda m: "" if re.match(r"</?b>", m[0]) else " ", article)).split())
+        assert got[r.page_id].text == want and got[r.page_id].n_chars == len(want)
+
+
+PAGE = """<html><head><title>No</title><style>p{}</style></head><body><header class="site-header"><div>Site name</div><ul><li><a href=/>Home</a></li><li><a href=/a>About us</a></li></ul></header>
+<div class="cookie-notice"><p>We use cookies, accept?</p><button>OK</button></div>
+<article><h1>A  long&nbsp;title &amp; more</h1><p>First <b>para</b>graph of the text, with words.<br>Second line of it, which goes on for a while.</p><div class="ad">Buy things now!</div>
+<p>Another paragraph, longer than the other one; it has plenty of words to read.</p><script>document.write("<p>no</p>")</script></article>
+<aside class="sidebar"><h3>Related</h3><ul><li><a href=/1>One thing here</a></li><li><a href=/2>Other thing there</a></li></ul></aside>
+<section id="comments"><h3>Comments</h3><div class="comment"><p>I liked it a lot, thanks.</p></div></section>
+<form class="search"><input name=q>Search here<button>Go</button></form><footer>&copy; Someone. All rights.</footer></body></html>"""
+
+
+def test_everything_around_the_article_goes(trees):
+    assert h.extract([PAGE], trees) == ["A long title & more First paragraph of the text, with words. Second line of it, which goes on for a while. Another paragraph, longer than the other one; it has plenty of words to read."]
+
+
+def test_choices_never_contradict(trees):
+    import numpy as np
+
+    for page, _ in page_maker.labelled_pages(40, 5):
+        nodes, _ = h.parse(page)
+        kept = h.decode(nodes, np.random.default_rng(1).normal(size=len(nodes)))
+        assert all(kept[x.parent] or not kept[i] for i, x in enumerate(nodes) if i)
+
+
+def test_edges(spark, trees):
+    rows = [(1, "u", None), (2, None, ""), (3, "u", "<p"), (4, "u", "<article><p>open words and more of them"), (4, "u", "<article><p>open words and more of them"), (None, "u", "<!-- never closed <p>x</p>"), (5, "u", "<article>" + "<p>word after word, again.</p>" * 20_000)]
+    got = {r.page_id: r for r in h.main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), trees).collect()}
+    assert [got[k].text for k in (1, 2, None)] == ["", "", ""] and got[4].text == "open words and more of them"
+    assert got[5].n_chars == 20_000 * len("word after word, again. ") - 1
+    assert h.main_text(spark.createDataFrame([], "page_id long, url string, html string"), trees).collect() == []
