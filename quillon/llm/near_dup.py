@@ -177,6 +177,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     base = materialize(signed(docs, width, bands, rows), "near-dup-bands")
     exploded = base.filter("cls IS NOT NULL").select("cls", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("band")
+    shared = materialize(shared, "near-dup-shared")  # so that the join's shuffles are plain ones, and hot buckets split
     members = materialize(exploded.join(shared, "band").select("band", "cls").distinct(), "near-dup-buckets")
     wanted = base.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     sets = materialize(sets_of(docs, wanted, width), "near-dup-sets")
