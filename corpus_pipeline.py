@@ -22,7 +22,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+    return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"), width=10)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
