@@ -24,7 +24,7 @@ def brute_kept(rows):
     windows = set()
     for t in pq.read_table(f"{SF}/benchmark.parquet").column("text").to_pylist():
         w = item_words(t)
-        n = min(len(w), 13)
+        n = min(len(w), 10)
         windows |= {tuple(w[p : p + n]) for p in range(len(w) - n + 1)} if w else set()
     sizes = {len(x) for x in windows}
     clean = lambda w: not any(tuple(w[p : p + n]) in windows for n in sizes for p in range(len(w) - n + 1))
