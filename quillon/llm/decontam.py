@@ -20,61 +20,81 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import words
 
-#: Letters and digits in ASCII, everything beyond; after A-Z became a-z.
-ITEM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Letters and digits in ASCII, and everything beyond it.
+ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def folded_words(text: Column) -> Column:
-    return words(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), ITEM_WORD)
+def ascii_lower(word: Column) -> Column:
+    return F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def folded(w: Column) -> Column:
+    """Words with A-Z lower-cased, as one string: the form in which they are compared. Documents are
+    joined on the full lower case of single words, which equal forms share and which is much cheaper
+    for a whole corpus; only the words of a possible window are folded exactly."""
+    return ascii_lower(F.array_join(w, " "))
 
 
 def item_windows(benchmark: DataFrame, width: int) -> DataFrame:
-    """words (array), items (sorted distinct ids as strings): a row per distinct window."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), folded_words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    """window (its folded words), size, items (sorted distinct ids as strings): a row per distinct window."""
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words(F.col("text"), ITEM_WORD).alias("w")).filter(F.size("w") > 0)
     size = F.least(F.size("w"), F.lit(width))
-    each = items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("words"))
-    return each.groupBy("words").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    each = items.select("item", size.alias("size"), F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.slice("w", i, size))).alias("words"))
+    return each.groupBy(folded(F.col("words")).alias("window"), "size").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
 
 def with_prefix(windows: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
     """Adds token, the window's rarest word in docs, and offset, its first place there."""
-    each = windows.select("words", F.posexplode("words").alias("offset", "token"))
+    each = windows.select("window", F.posexplode(F.split(F.lower("window"), " ")).alias("offset", "token"))
     vocabulary = each.select("token").distinct()
-    said = docs.select(F.explode("w").alias("token"))
+    said = docs.select(F.explode("w").alias("word")).select(F.lower("word").alias("token"))
     counts = said.join(F.broadcast(vocabulary) if small else vocabulary, "token").groupBy("token").agg(F.count("*").alias("n"))
-    ranked = each.join(counts, "token", "left").groupBy("words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("prefix"))
-    return windows.join(ranked, "words").select("words", "items", F.col("prefix.token").alias("token"), F.col("prefix.offset").alias("offset"))
-
-
-def contained(start: Column) -> Column:
-    """Whether the window's words stand in w from start on; first the bounds, then every word."""
-    size = F.size("words")
-    return F.when((start >= 0) & (start + size <= F.size("w")), F.slice("w", F.greatest(start, F.lit(0)) + 1, size) == F.col("words")).otherwise(F.lit(False))
+    ranked = each.join(counts, "token", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "offset")).alias("prefix"))
+    return windows.join(ranked, "window").select("window", "size", "items", F.col("prefix.token").alias("token"), F.col("prefix.offset").alias("offset"))
+
+
+#: Words of a document that travel with each of its tokens, at most: a long text goes in several parts.
+PART = 4096
+
+
+def tokens(docs: DataFrame, width: int) -> DataFrame:
+    """docs (doc_id, text_key, w): a row per word, and one with an empty word per document: doc_id,
+    text_key, n_words, pos, token, around (the words from base on in which every window of the word lies)."""
+    pad = width - 1
+    base = lambda c: F.greatest(c * PART - pad, F.lit(0))
+    part = lambda c: F.struct((c * PART).alias("at"), base(c).alias("base"), F.slice("w", base(c) + 1, F.lit(PART + 2 * pad)).alias("around"))
+    parts = docs.select("doc_id", "text_key", F.size("w").alias("n_words"), F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("w") - 1, F.lit(0)) / PART).cast("int")), part)).alias("p"))
+    parts = parts.select("doc_id", "text_key", "n_words", "p.at", "p.base", "p.around")
+    own = F.slice("around", F.col("at") - F.col("base") + 1, F.lit(PART))
+    parts = parts.withColumn("own", F.when(F.col("at") == 0, F.array_append(own, F.lit(""))).otherwise(own))
+    return parts.select("doc_id", "text_key", "n_words", "at", "base", "around", F.posexplode("own").alias("i", "word")).select(
+        "doc_id", "text_key", "n_words", (F.col("at") + F.col("i")).alias("pos"), F.lower("word").alias("token"), "base", "around"
+    )
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), folded_words(F.col("text")).alias("w"))
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text"), ITEM_WORD).alias("w"))
     windows = item_windows(benchmark, width)
-    held = windows.agg(F.sum(F.length(F.array_join("words", " ")) * 2 + F.length(F.array_join("items", " ")) + 256)).first()[0] or 0
+    held = windows.agg(F.sum(F.length("window") * 2 + F.length(F.array_join("items", " ")) + 256)).first()[0] or 0
     small = held * 4 <= broadcast_bytes  # characters may be 4 bytes
     plan = with_prefix(windows, base, small)
-    # every document ends in an empty word, which meets this row: documents without hits stay
-    end = docs.sparkSession.createDataFrame([([], [], "", 0)], "words array<string>, items array<string>, token string, offset int")
+    # every document has an empty word, which meets this row: documents without hits stay
+    end = docs.sparkSession.createDataFrame([("", 0, [], "", 0)], "window string, size int, items array<string>, token string, offset int")
     plan = plan.union(end)
-    start = (F.col("pos") - F.col("offset")).alias("start")
+    said = tokens(base, width)
+    start = F.col("pos") - F.col("offset")
+    # first the bounds, then every word; the empty word's row has no words to compare
+    bounds = (F.col("token") == "") | ((start >= 0) & (start + F.col("size") <= F.col("n_words")))
+    same = lambda w, at: F.when(F.col("size") > 0, folded(F.slice(w, F.greatest(at, F.lit(0)) + 1, F.col("size"))) == F.col("window")).otherwise(F.lit(True))
+    out = ["doc_id", "text_key", "n_words", start.alias("start"), "size", "items"]
     if small:
-        said = base.select("*", F.posexplode(F.array_append("w", F.lit(""))).alias("pos", "token"))
-        hits = said.join(F.broadcast(plan), "token").filter(contained(F.col("pos") - F.col("offset")))
-        hits = hits.select("doc_id", "text_key", F.size("w").alias("n_words"), start, F.size("words").alias("size"), "items")
+        hits = said.join(F.broadcast(plan), "token").filter(F.when(bounds, same("around", start - F.col("base"))).otherwise(F.lit(False))).select(*out)
     else:
-        said = base.select("doc_id", "text_key", F.size("w").alias("n_words"), F.posexplode(F.array_append("w", F.lit(""))).alias("pos", "token"))
-        near = said.join(plan, "token").select("doc_id", "text_key", "n_words", start, "words", "items")
-        near = near.filter((F.col("start") >= 0) & (F.col("start") + F.size("words") <= F.col("n_words")))
+        near = said.drop("base", "around").join(plan, "token").filter(bounds).select("window", *out)
         own = base.filter(F.size("w") > 0).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "w").dropDuplicates(["own_id", "own_key"])
         here = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
-        hits = near.join(own, here, "left").filter((F.size("words") == 0) | contained(F.col("start")))
-        hits = hits.select("doc_id", "text_key", "n_words", "start", F.size("words").alias("size"), "items")
+        hits = near.join(own, here, "left").filter(same("w", F.col("start"))).select("doc_id", "text_key", "n_words", "start", "size", "items")
     by_doc = hits.groupBy("doc_id", "text_key").agg(
         F.max("n_words").alias("n_words"),
         F.count_if(F.col("size") == 0).alias("copies"),
