@@ -25,18 +25,24 @@ LETTER = re.compile(r"[^\W\d_]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def sample(docs: DataFrame, usable: Column, sample_docs: int, sample_chars: int) -> DataFrame:
+def sample(docs: DataFrame, usable: Column, sample_docs: int, sample_chars: int, most_langs: int = 1_000) -> DataFrame:
     """(lang, text, key, rows of the language): about the first sample_docs usable rows of each language by a hash of doc_id.
 
-    The hash range that holds them is found from the languages' counts, so no language is sorted
-    or gathered as a whole.
+    The hash range that holds them follows from the languages' counts, of which most_langs at most come
+    to the driver; a filter in the scan applies it, so no language is joined, sorted or gathered as a whole.
     """
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).limit(most_langs + 1).collect()
+    if len(counts) > most_langs:
+        raise ValueError(f"more than {most_langs} languages")
+    rows = F.lit(None).cast("long")
+    for r in counts:
+        rows = F.when(F.col("lang") == r["lang"], F.lit(r["rows"])).otherwise(rows)
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    few = known.select("lang", "text", place.alias("key")).join(counts, "lang").filter(F.col("key") * F.col("rows") < F.lit(4 * sample_docs << 30))
+    few = known.select("lang", "text", place.alias("key"), rows.alias("rows")).filter(F.col("key").cast("double") * F.col("rows") < F.lit(float(4 * sample_docs << 30)))
+    few = few.select("lang", F.substring("text", 1, sample_chars).alias("text"), "key", "rows")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
-    return few.withColumn("nth", nth).filter(F.col("nth") <= sample_docs).select("lang", F.substring("text", 1, sample_chars).alias("text"), "key", "rows")
+    return few.withColumn("nth", nth).filter(F.col("nth") <= sample_docs).drop("nth")
 
 
 def normal(text: str) -> str:
