@@ -1,7 +1,7 @@
 """URL filters: host rules first, then a weighted vocabulary found by one Aho-Corasick automaton.
 
 A strict term rejects a url by itself; soft terms reject it when the weights of the distinct ones
-reach a sum. A term only counts between boundaries: no letter or digit may touch it, so that a
+reach a sum, which any two of the default vocabulary do. A term only counts between boundaries: no letter or digit may touch it, so that a
 place name that holds a term inside a longer word is left alone.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule;
@@ -25,12 +25,30 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-STRICT = ("porn", "porno", "pornography", "xxx", "hentai", "camgirls", "sexcam", "sexcams", "milf", "bdsm", "onlinecasino", "warez", "keygen")
-SOFT = {
-    "casino": 1.0, "poker": 1.0, "betting": 1.0, "jackpot": 1.0, "slots": 0.5, "adult": 1.0, "sex": 1.0, "sexy": 1.0, "nude": 1.0, "nudes": 1.0,
-    "escort": 1.0, "escorts": 1.0, "erotic": 1.0, "viagra": 1.0, "cialis": 1.0, "torrent": 1.0, "torrents": 1.0, "cracked": 1.0, "crack": 0.5,
-    "payday": 0.5, "loans": 0.5, "free": 0.25, "cheap": 0.25, "download": 0.25, "dating": 0.5,
-}
+#: Also compounds whose parts alone say nothing, like an x.
+STRICT = (
+    "porn", "porno", "pornography", "xxx", "hentai", "camgirls", "sexcam", "sexcams", "milf", "bdsm", "onlinecasino", "warez", "keygen",
+    "pornhub", "sexchat", "livesex", "sexshop", "camsex", "camgirl", "gangbang", "blowjob", "creampie", "upskirt", "x-rated", "xrated", "adult-x", "x-adult",
+    "casinoonline", "casino-online", "online-casino", "freespins", "free-spins", "sportsbetting", "buyviagra", "buy-viagra", "buycialis", "buy-cialis", "keygens", "serialz", "crackz",
+)
+#: One hit says little, so two distinct ones at the default soft_sum reject. Inflections that plain urls put side by side (track, tracking) are left out.
+SOFT = dict.fromkeys(
+    (
+        # gambling
+        "casino", "casinos", "poker", "bet", "bets", "betting", "bookmaker", "jackpot", "jackpots", "slot", "slots", "roulette", "blackjack", "baccarat", "bingo", "lotto", "gambling", "gamble", "wager", "sportsbook", "win", "bonus",
+        # adult
+        "adult", "sex", "sexy", "nude", "nudes", "naked", "escort", "escorts", "erotic", "erotica", "fetish", "webcam", "webcams", "hookup", "hookups", "dating", "milfs", "busty", "horny", "nsfw",
+        # pills
+        "viagra", "cialis", "levitra", "xanax", "tramadol", "phentermine", "ambien", "valium", "pill", "pills", "meds", "pharma", "rx", "steroids", "weightloss",
+        # spam
+        "spam", "spammer", "farm", "linkfarm", "backlinks", "clickbait", "payday", "loans", "replica", "replicas", "cheap", "cheapest", "free", "prizes", "giveaway", "getrich", "forex",
+        # advertising
+        "ads", "adserver", "adclick", "popads", "popunder", "banners", "doubleclick", "track", "clicktrack", "affiliate",
+        # piracy
+        "torrent", "torrents", "cracked", "crack", "serials", "nulled", "download",
+    ),
+    1.0,
+)
 
 
 def ascii_lower(c: Column) -> Column:

@@ -78,6 +78,14 @@ def test_url_rules_and_terms(spark):
     assert got == dict(enumerate(cases.values()))
 
 
+def test_hosts_of_each_kind_are_blocked_by_the_terms(spark):
+    bad = ["http://m.casino-win.example.fr/en/4033.html", "https://free-bets.example.fr/en/5462#top", "http://cheap-pills.example.fr/de/1?page=2&ref=x", "https://blog.adult-x.example.fr/fr/9689/", "http://www.spam-farm.example.fr/en/7", "https://m.ads-track.example.fr/es/3?utm_source=feed"]
+    good = ["http://farm.example.fr/en/1?ref=x", "https://x.example.fr/free/status", "http://win.example.fr/windows?ref=x", "https://post.example.fr/track?tracking=3", "http://sussex.example.fr/betsy/downloads", "https://bank.example.fr/loans/loan"]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.filter_urls(df).collect()}
+    assert [got[i] for i in range(len(got))] == [(None, "block")] * len(bad) + [(None, "allow")] * len(good)
+
+
 # quality
 def brute_quality(t):
     w = re.findall(WORD, t or "")
