@@ -19,8 +19,8 @@ from quillon.operators import graph as g
 Encoder = Callable[[list[str]], list[list[float]]]
 Scorer = Callable[[list[str], list[str]], list[float]]
 Generator = Callable[[str], str]
-#: Queries whose vectors are broadcast at most; beyond, batches of queries are searched one by one.
-QUERY_BATCH = 4096
+#: Queries whose vectors are broadcast at most; beyond, blocks of about QUERY_BLOCK queries each meet every part of the vectors.
+QUERY_BATCH, QUERY_BLOCK = 4096, 256
 
 
 def embed(df: DataFrame, column: str, encoder: Callable[[], Encoder], batch_size: int = 32, out: str = "embedding") -> DataFrame:
@@ -52,16 +52,18 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact: queries (query_id, embedding), vectors (vec_id, embedding) -> query_id, vec_id, distance, pos.
 
-    A stated set of queries of bounded size meets all vectors in one pass: it lies on every executor and
-    each vector is scored where it is. The rank limit runs inside each partition first (a window group
-    limit in the plan), so that k rows per query and partition are shuffled, never all scores.
+    Up to QUERY_BATCH queries meet all vectors in one pass: they lie on every executor and each vector is
+    scored where it is. More are dealt into blocks, and each pair of a block and a part of the vectors is a
+    task of its own, so that neither the driver nor a task holds all queries. The rank limit runs inside
+    each task first (a window group limit in the plan), so that k rows per query and task are shuffled,
+    never all scores.
     """
     batch = queries.count()
-    if batch > QUERY_BATCH:
-        raise ValueError(f"{batch} queries; split them into batches of {QUERY_BATCH}")
     asked = queries.select("query_id", F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("q_norm"))
     held = vectors.select("vec_id", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("v_norm"))
-    scored = held.join(F.broadcast(asked)).select("query_id", "vec_id", (1 - dot(F.col("v"), F.col("q")) / (F.col("v_norm") * F.col("q_norm"))).alias("distance"))
+    many = batch > QUERY_BATCH
+    asked = asked.repartition(-(-batch // QUERY_BLOCK), "query_id").hint("shuffle_replicate_nl") if many else F.broadcast(asked)
+    scored = held.join(asked).select("query_id", "vec_id", (1 - dot(F.col("v"), F.col("q")) / (F.col("v_norm") * F.col("q_norm"))).alias("distance"))
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return scored.withColumn("pos", pos).filter(F.col("pos") <= k).select("query_id", "vec_id", "distance", "pos")
 

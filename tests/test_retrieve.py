@@ -32,6 +32,17 @@ def test_nearest_is_exact_and_limited_before_the_shuffle(spark):
     assert "WindowGroupLimit" in hits._jdf.queryExecution().executedPlan().toString()
 
 
+def test_more_queries_than_a_batch_are_all_answered(spark):
+    v = spark.range(40).selectExpr("concat('v', id) AS vec_id", "array(float(cos(id)), float(sin(id))) AS embedding")
+    q = spark.range(5000).selectExpr("id AS query_id", "array(float(cos(id / 7)), float(sin(id / 7))) AS embedding")
+    hits = retrieve.nearest(q, v, 3)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "WindowGroupLimit" in plan
+    halves = [retrieve.nearest(q.filter(f"query_id % 2 = {i}"), v, 3).collect() for i in range(2)]
+    got = sorted(map(tuple, hits.collect()))
+    assert len(got) == 15000 and got == sorted(tuple(r) for half in halves for r in half)
+
+
 def test_entry_points_collapse_then_filter_then_cut(spark):
     hits = spark.createDataFrame([(1, "x#khoan-1", 0.1), (1, "x", 0.3), (1, "y", 0.35), (1, "z", 0.36), (1, "w", 0.2)], "query_id long, vec_id string, distance double")
     got = retrieve.entry_points(hits, 0.65, 2).orderBy("pos")
