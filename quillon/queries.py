@@ -102,7 +102,8 @@ y AS (SELECT config, 'all' AS subset, rank FROM x UNION ALL SELECT config, 'mult
 SELECT config, subset, count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM y GROUP BY ALL"""
 )
 def ablation(spark, sf_dir):
-    """Two runs over all questions and over those with several golds."""
+    """G05 and the metrics of G06 over all questions and over those with several golds. The runs are dense and
+    its first hits, as the SQL states: neither graph expansion nor reranking, and no question set (G04)."""
     gold = gold_labels(spark, sf_dir).withColumn("gold", F.when(F.col("query_id") % 200 == 0, F.array_append("gold", F.lit("none"))).otherwise(F.col("gold")))
     ranked = ranked_labels(spark, sf_dir)
     out = evaluate.ablation(gold, {"dense": ranked, "first_only": ranked.filter("pos = 1")})
