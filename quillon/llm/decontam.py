@@ -72,8 +72,8 @@ def tokens(docs: DataFrame, width: int) -> DataFrame:
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def verdicts(docs: DataFrame, benchmark: DataFrame, width: int = 13, broadcast_bytes: int = 32 << 20) -> DataFrame:
+    """A row per row of docs: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated."""
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text"), ITEM_WORD).alias("w"))
     windows = item_windows(benchmark, width)
     held = windows.agg(F.sum(F.length("window") * 2 + F.length(F.array_join("items", " ")) + 256)).first()[0] or 0
@@ -102,8 +102,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, broadc
         F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
     )
     hit = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["size"] - 1))))
-    return by_doc.select("doc_id", F.col("n_words").cast("long"), F.size(hit).cast("long").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+    return by_doc.select("doc_id", "text_key", F.col("n_words").cast("long"), F.size(hit).cast("long").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "doc_id",
+        "text_key",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
@@ -112,8 +113,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 13, broadc
     )
 
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+    """A row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return verdicts(docs, benchmark, **params).drop("text_key")
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    bad = decontaminate(docs, benchmark, **params).filter("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    keyed = docs.select(F.struct("*").alias("row"))
-    return keyed.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad_id")), "left_anti").select("row.*")
+    bad = verdicts(docs, benchmark, **params).filter("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("row_key"))
+    return keyed.join(bad, F.col("row.doc_id").eqNullSafe(F.col("bad_id")) & (F.col("row_key") == F.col("bad_key")), "left_anti").select("row.*")

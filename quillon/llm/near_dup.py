@@ -14,7 +14,7 @@ Steps, on classes of documents with equal sets, so that copies weigh nothing:
    Families of thousands of edited copies don't meet there, as what sets them apart is rare.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing;
-repeated rows and rows with an equal doc_id share a verdict; a null doc_id is kept only if no other
+repeated rows share a verdict, of which keep_one keeps one; a null doc_id is kept only if no other
 document is linked with it; an empty table gives no rows; other columns are ignored.
 """
 
@@ -75,7 +75,7 @@ def set_class(s: np.ndarray) -> bytes:
 
 
 def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, cls, bands for every row; cls and bands are null for an empty set."""
+    """doc_id, text_key, n_shingles, cls, bands for every row; cls and bands are null for an empty set."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,10 +95,10 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     classes.append(None)
                     keys.append(None)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "cls", "bands"]
+                [b.column("doc_id"), b.column("text_key"), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "text_key", "n_shingles", "cls", "bands"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_shingles long, cls binary, bands array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {id_type}, text_key long, n_shingles long, cls binary, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -172,8 +172,8 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int, step: float =
     return pairs.select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
-    """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
+def verdicts(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
+    """A row per row of docs: doc_id, text_key, n_shingles, component_id (least doc_id reachable), kept."""
     base = materialize(signed(docs, width, bands, rows), "near-dup-bands")
     exploded = base.filter("cls IS NOT NULL").select("cls", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("band")
@@ -189,18 +189,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     rest = materialize(sets.join(open_, "cls", "left_semi"), "near-dup-rest")
     more = materialize(verified(prefix_pairs(rest, labels, percent), rest, percent), "near-dup-links")
     labels = components(edges.union(more)).withColumnRenamed("node", "cls")
-    placed = base.join(labels, "cls", "left").select("doc_id", "n_shingles", F.coalesce("label", "cls").alias("label"))
+    placed = base.join(labels, "cls", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "cls").alias("label"))
     least = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     return placed.join(least, "label", "left").select(
         "doc_id",
+        "text_key",
         "n_shingles",
         F.coalesce("least", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("least", "doc_id")).alias("kept"),
     )
 
 
+def near_duplicates(docs: DataFrame, **params) -> DataFrame:
+    """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
+    return verdicts(docs, **params).drop("text_key")
+
+
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """One document of each group, with its own columns: the one with the least doc_id."""
-    gone = near_duplicates(docs, **params).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    keyed = docs.select(F.struct("*").alias("row"))
-    return keyed.join(gone, F.col("row.doc_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")
+    """The documents of each group with its least doc_id, with their own columns; of rows with equal
+    doc_id and text, one."""
+    said = verdicts(docs, **params).groupBy(F.col("doc_id").alias("said_id"), F.col("text_key").alias("said_key")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    said = materialize(said.filter("NOT kept OR n > 1"), "near-dup-said")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("row_key"))
+    here = F.col("row.doc_id").eqNullSafe(F.col("said_id")) & (F.col("row_key") == F.col("said_key"))
+    once = keyed.join(said, here, "left_anti")
+    again = keyed.join(said.filter("kept"), here, "left_semi").select("row", F.col("row.doc_id").alias("id"), "row_key").dropDuplicates(["id", "row_key"])
+    return once.select("row.*").union(again.select("row.*"))

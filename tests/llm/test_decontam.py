@@ -61,3 +61,9 @@ def test_keep_clean_leaves_columns(spark):
     docs = spark.createDataFrame([(1, "x a b c y", 3), (2, "a b", 4)], "doc_id long, text string, n_hit int")
     items = spark.createDataFrame([(1, "A b C")], "item_id long, text string")
     assert [tuple(r) for r in decontam.keep_clean(docs, items).collect()] == [(2, "a b", 4)]
+
+
+def test_keep_clean_drops_no_clean_row_of_the_same_id(spark):
+    docs = spark.createDataFrame([(None, "x a b c y"), (None, "other"), (2, "a b c"), (2, "fine"), (None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "A b C")], "item_id long, text string")
+    assert sorted(map(tuple, decontam.keep_clean(docs, items).collect()), key=repr) == [(2, "fine"), (None, "other"), (None, None)]

@@ -97,3 +97,10 @@ def test_keep_one(spark, percent):
     kept = near_dup.keep_one(df, percent=percent)
     assert kept.columns == df.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3]
+
+
+def test_keep_one_tells_rows_of_one_id_apart_by_text(spark):
+    rows = [(1, "a b c d e f"), (None, "A B c d e f"), (None, "quite other words"), (3, "said twice over"), (3, "said twice over"), (3, "a b c d e f"), (None, "null and twice"), (None, "null and twice")]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(1, "a b c d e f"), (3, "said twice over"), (None, "null and twice"), (None, "quite other words")]
+    assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
