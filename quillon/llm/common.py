@@ -1,13 +1,12 @@
-"""Shared pieces: shared scratch tables, table reading, word patterns."""
+"""Shared pieces: scratch tables, table reading, word patterns."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.scratch import materialize, scratch_dir  # noqa: F401
+
 #: Words split at ASCII white space, as a Java and Python pattern.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,31 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or what the session was given;
-    only where neither is set (tests on one machine) a new temporary folder."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        found = tempfile.mkdtemp(prefix="quillon-checkpoint-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts lineage, so that a lost
-    executor costs no recomputation, and lets several consumers share one pass over the input.
-    The files go when the session ends."""
-    spark = df.sparkSession
-    where = f"{scratch_dir(spark)}/quillon/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(where)
-    path = spark._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark._jsc.sc().hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
-
-
 def words(text: Column, pattern: str = WORD) -> Column:
     """The words of a text, in order; an empty array for null."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({pattern})"), 1), F.array().cast("array<string>"))
