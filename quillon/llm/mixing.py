@@ -5,9 +5,10 @@ a range partitioning of that order, so the running word count is a sum inside a
 sum of the buckets before it, and no source ever has to fit into one task. A source's budget is
 then cut exactly: whole epochs of all its rows plus the first words of the order.
 
-Defined cases: a null text has size 0 and is never taken from; a null source is a source of its
-own, last in order; rows that repeat count each by itself; an empty table gives no rows; other
-columns of the input are ignored.
+Defined cases: a null or empty text has size 0 and is never taken from; a very long text counts as any
+other and may be cut inside; ties of the hash order (equal doc_id and text) follow one another; a null
+source is a source of its own, last in order; rows that repeat count each by itself; an empty table
+gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -25,43 +26,47 @@ def hash_key(seed: str) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
 
 
-def source_targets(sources: DataFrame, weights: Sequence[int], share: float, cap: int) -> DataFrame:
-    """sources: (src, src_null, source_size), a row per source. Adds target.
+def placed_sources(sources: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
+    """sources (src, src_null, source_size): adds weight by the place in order, room (what cap allows) and full_at
+    (the level room / weight at which a source is full).
 
-    Targets share ``share`` of all sizes by weight; none exceeds cap times its source's size, and
-    what is cut off goes to the others by weight. With sources in ascending order of the level
-    cap*size/weight at which each is full, the first one that isn't full at the level that its
-    predecessors leave sets the level of all later ones. One row per source goes through a single
-    ordered window here, never a document.
+    Ranges of the order are numbered each by itself; a count per range says where each begins. So no task
+    holds all sources, of which there may be as many as hosts.
     """
-    in_order = Window.orderBy("src_null", "src")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(in_order) - 1) % len(weights) + 1).cast("int"))
-    every = Window.partitionBy()
-    by_level = Window.orderBy("full_at", "src_null", "src")
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    levelled = (
-        sources.withColumn("weight", weight)
-        .withColumn("room", F.col("source_size").cast("double") * cap)
-        .withColumn("full_at", F.col("room") / F.col("weight"))
-        .withColumn("total", F.sum("source_size").over(every).cast("double") * share)
-        .withColumn("used", F.coalesce(F.sum("room").over(before), F.lit(0.0)))
-        .withColumn("level", (F.col("total") - F.col("used")) / F.sum("weight").over(onward))
-        .withColumn("nth", F.row_number().over(by_level))
-        .withColumn("first", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("nth", "level"))).over(every))
-    )
-    open_ = F.coalesce(F.col("nth") >= F.col("first.nth"), F.lit(False))
-    target = F.when(open_, F.least("room", F.col("first.level") * F.col("weight"))).otherwise(F.col("room"))
-    return levelled.select("src", "src_null", "source_size", target.alias("target"))
-
-
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, cap: int = 3, seed: str = "mix", rows_per_bucket: int = 65_536) -> DataFrame:
-    """One row per row of docs: doc_id, size, source_size, target, taken, source.
-
-    taken is the number of its words in the mix, repeats counted: one size for each whole epoch of
-    the source, and of the last, partial epoch what lies before the cut. The words taken from a
-    source are its target, rounded.
+    ranges = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(sources.repartitionByRange(ranges, "src_null", "src").withColumn("range", F.spark_partition_id()), "mix-ranges")
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    nth = F.col("before") + F.row_number().over(Window.partitionBy("range").orderBy("src_null", "src")) - 1
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (nth % len(weights) + 1).cast("int"))
+    placed = ranged.join(starts, "range").withColumn("weight", weight).withColumn("room", F.col("source_size").cast("double") * cap)
+    return materialize(placed.select("src", "src_null", "source_size", "weight", "room", (F.col("room") / F.col("weight")).alias("full_at")), "mix-sources")
+
+
+def source_targets(placed: DataFrame, share: float) -> DataFrame:
+    """placed_sources with target instead of weight, room and full_at.
+
+    Targets share ``share`` of all sizes by weight; none exceeds its source's room, and what is cut off
+    goes to the others by weight. The level is the share per weight: sources that are full below it get
+    their room, and what they leave raises the level of the others, until no further source is full.
+    Every step is an aggregation that gives the driver one row.
     """
+    level, full = 0.0, -1
+    while True:
+        is_full = F.col("full_at") < level
+        seen = placed.agg(
+            F.sum("source_size").cast("double").alias("total"), F.count_if(is_full).alias("full"),
+            F.sum(F.when(is_full, F.col("room")).otherwise(0.0)).alias("used"), F.sum(F.when(is_full, 0.0).otherwise(F.col("weight"))).alias("open"),
+        ).first()
+        if not seen["open"] or seen["full"] == full:
+            break
+        full, level = seen["full"], (seen["total"] * share - seen["used"]) / seen["open"]
+    target = F.when(F.col("full_at") < level, F.col("room")).otherwise(F.least("room", F.lit(level) * F.col("weight")))
+    return placed.select("src", "src_null", "source_size", target.alias("target"))
+
+
+def taken_rows(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0, cap: int = 3, seed: str = "mix", rows_per_bucket: int = 65_536) -> DataFrame:
+    """A row per row of docs: doc_id, key, size, source_size, target, taken, source."""
     spark = docs.sparkSession
     sized = materialize(
         docs.select(
@@ -78,7 +83,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     by_bucket = placed.groupBy("src", "src_null", "bucket").agg(F.sum("size").alias("bucket_size"))
     by_source = sized.groupBy("src", "src_null").agg(F.sum("size").alias("source_size"))
     budget = F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * cap)
-    plan = source_targets(by_source, weights, share, cap).withColumn("budget", budget)
+    plan = source_targets(placed_sources(by_source, weights, cap), share).withColumn("budget", budget)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0)))
     plan = plan.withColumn("rest", F.col("budget") - F.col("epochs") * F.col("source_size"))
     earlier = Window.partitionBy("src", "src_null").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,13 +93,25 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), share: float = 1.0,
     start = F.col("offset") + F.col("upto") - F.col("size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - start))
     return summed.join(offsets.drop("bucket_size", "budget"), ["src", "src_null", "bucket"]).select(
-        "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "source"
+        "doc_id", "key", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"), "source"
     )
 
 
-def mix_documents(docs: DataFrame, **params) -> DataFrame:
+def mix(docs: DataFrame, **params) -> DataFrame:
+    """One row per row of docs: doc_id, size, source_size, target, taken, source.
+
+    taken is the number of its words in the mix, repeats counted: one size for each whole epoch of
+    the source, and of the last, partial epoch what lies before the cut. The words taken from a
+    source are its target, rounded.
+    """
+    return taken_rows(docs, **params).drop("key")
+
+
+def mix_documents(docs: DataFrame, seed: str = "mix", **params) -> DataFrame:
     """The mix itself: the documents with words taken, with all their columns, and taken (words to
-    train on) beside them. Rows with an equal doc_id and text are one document there."""
-    plan = mix(docs, **params).groupBy("doc_id").agg(F.max("taken").alias("taken")).filter("taken > 0")
-    keyed = docs.select(F.struct("*").alias("row"))
-    return keyed.join(plan, F.col("row.doc_id").eqNullSafe(F.col("doc_id"))).select("row.*", "taken")
+    train on) beside them, in place of a column of that name. Rows of one doc_id are told apart by text
+    and source; where those are equal too, the rows take equal parts, rounded down."""
+    plan = taken_rows(docs, seed=seed, **params).groupBy(F.col("key").alias("of_key"), F.col("source").alias("of_source")).agg(F.floor(F.sum("taken") / F.count("*")).cast("long").alias("taken"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "taken"]).alias("row"), hash_key(seed).alias("row_key"), F.col("source").alias("row_source"))
+    here = (F.col("row_key") == F.col("of_key")) & F.col("row_source").eqNullSafe(F.col("of_source"))
+    return keyed.join(plan.filter("taken > 0"), here).select("row.*", "taken")

@@ -160,3 +160,32 @@ def test_mix_of_nothing(spark):
     df = spark.createDataFrame([(1, None, "a")], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mix(df).collect()] == [0] and mixing.mix(df.limit(0)).collect() == []
     assert mixing.mix_documents(df).columns == ["doc_id", "text", "source", "taken"]
+
+
+def test_mixed_documents_are_told_apart_by_text_and_source(spark):
+    rows = [(1, "w " * 40, "a"), (1, "w " * 2, "b"), (1, "w " * 40, "b"), (None, "x " * 9, "a"), (None, "y " * 7, "a"), (None, None, None), (2, "z " * 30_000, "a"), (3, "tie tie", "b"), (3, "tie tie", "b")]
+    df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, taken int")
+    got = mixing.mix_documents(df)
+    assert got.columns == ["doc_id", "text", "source", "taken"]
+    said = {(r.doc_id, r.text, r.source): r.taken for r in mixing.taken_rows(df).join(df.select("doc_id", "text", "source").distinct(), ["doc_id", "source"]).selectExpr("doc_id", "text", "source", "taken", "size").collect() if len(r.text.split()) == r.size and r.text != "tie tie"}
+    out = got.collect()
+    for r in out:
+        assert 0 < r.taken <= 3 * len(r.text.split())
+        if r.doc_id is not None and r.text != "tie tie":
+            assert said[r.doc_id, r.text, r.source] == r.taken
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.taken
+    assert all(abs(taken[s] - t) <= 1.5 for s, t in brute_targets(sizes).items())
+
+
+def test_many_sources_have_the_targets_of_brute_force(spark):
+    rng = random.Random(8)
+    sizes = {f"host{i:04d}": rng.choice([0, 1, 2, 5, 400, 3000]) for i in range(700)} | {None: 11}
+    df = spark.createDataFrame([(s, n) for s, n in sizes.items()], "src string, source_size long").selectExpr("coalesce(src, '') AS src", "src IS NULL AS src_null", "source_size")
+    got = {None if r.src_null else r.src: r.target for r in mixing.source_targets(mixing.placed_sources(df, (5, 2, 1), 3), 1.0).collect()}
+    want = brute_targets(sizes)
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 for s in want)
