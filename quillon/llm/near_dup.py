@@ -13,9 +13,11 @@ Steps, on classes of documents with equal sets, so that copies weigh nothing:
    in order of rarity, prefixes as short as the sizes of both sides allow, then verification.
    Families of thousands of edited copies don't meet there, as what sets them apart is rare.
 
-Defined cases: null texts and texts without words have an empty set and are linked with nothing;
+Defined cases: null texts and texts without words have an empty set and are linked with nothing; a
+text shorter than a shingle is one shingle; very long texts are hashed whole, in parts that fit a cache;
 repeated rows share a verdict, of which keep_one keeps one; a null doc_id is kept only if no other
-document is linked with it; an empty table gives no rows; other columns are ignored.
+document is linked with it; ties for a bucket's centre go to the greater class; an empty table gives
+no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -102,19 +104,19 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cls, set) for the classes of wanted (doc_id, cls): the texts that have them, hashed again."""
+    """(cls, set) for the classes of wanted (cls, doc_id, text_key, copies): a text that has each, hashed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            classes, sets = [], []
-            for cls, s in zip(b.column("cls"), shingle_sets(b.column("text"), width), strict=True):
-                if len(s) and set_class(s) == cls.as_py():
-                    classes.append(cls.as_py())
-                    sets.append(s.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["cls", "set"])
+            sets = [s.view(np.int64) for s in shingle_sets(b.column("text"), width)]
+            yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(sets, pa.list_(pa.int64()))], ["cls", "set"])
 
-    ids = docs.select(F.col("doc_id").alias("own_id"), "text")
-    return ids.join(wanted, F.col("own_id").eqNullSafe(F.col("doc_id"))).select("cls", "text").mapInArrow(run, "cls binary, set array<long>")
+    own = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"), "text")
+    here = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key"))
+    met = own.join(wanted, here).select("cls", "text", "copies")
+    if wanted.filter("copies > 1").limit(1).count():  # rows that repeat, in doc_id too, give one set
+        met = met.filter("copies = 1").union(met.filter("copies > 1").dropDuplicates(["cls"]))
+    return met.select("cls", "text").mapInArrow(run, "cls binary, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -172,29 +174,36 @@ def prefix_pairs(sets: DataFrame, labels: DataFrame, percent: int, step: float =
     return pairs.select("a", "b").distinct()
 
 
-def verdicts(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
-    """A row per row of docs: doc_id, text_key, n_shingles, component_id (least doc_id reachable), kept."""
+def verdicts(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32, rows: int = 5, exact: bool = False) -> DataFrame:
+    """A row per row of docs: doc_id, text_key, n_shingles, label (of its component; null for an empty set),
+    component_id (least doc_id reachable), kept. With exact, all classes go to the prefix join, those
+    that share no bucket too, and no link can be missed."""
     base = materialize(signed(docs, width, bands, rows), "near-dup-bands")
     exploded = base.filter("cls IS NOT NULL").select("cls", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("band")
     shared = materialize(shared, "near-dup-shared")  # so that the join's shuffles are plain ones, and hot buckets split
     members = materialize(exploded.join(shared, "band").select("band", "cls").distinct(), "near-dup-buckets")
-    wanted = base.join(members.select("cls").distinct(), "cls").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    named = base.filter("cls IS NOT NULL")
+    named = named if exact else named.join(members.select("cls").distinct(), "cls")
+    wanted = named.groupBy("cls", "doc_id", "text_key").agg(F.count("*").alias("copies")).groupBy("cls").agg(F.min(F.struct("doc_id", "text_key", "copies")).alias("one"))
+    wanted = materialize(wanted.select("cls", "one.*"), "near-dup-wanted")
     sets = materialize(sets_of(docs, wanted, width), "near-dup-sets")
     edges = materialize(verified(stars(members), sets, percent), "near-dup-links")
     labels = components(edges).withColumnRenamed("node", "cls")
     labelled = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     mixed = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band")
     open_ = members.join(mixed, "band").select("cls").distinct()
-    rest = materialize(sets.join(open_, "cls", "left_semi"), "near-dup-rest")
+    rest = sets if exact else materialize(sets.join(open_, "cls", "left_semi"), "near-dup-rest")
     more = materialize(verified(prefix_pairs(rest, labels, percent), rest, percent), "near-dup-links")
     labels = components(edges.union(more)).withColumnRenamed("node", "cls")
-    placed = base.join(labels, "cls", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "cls").alias("label"))
-    least = placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
+    placed = materialize(base.join(labels, "cls", "left").select("doc_id", "text_key", "n_shingles", F.coalesce("label", "cls").alias("label")), "near-dup-placed")
+    # a table of its own: the shuffles of the join are plain, so that Spark can split a hot label
+    least = materialize(placed.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least")), "near-dup-least")
     return placed.join(least, "label", "left").select(
         "doc_id",
         "text_key",
         "n_shingles",
+        "label",
         F.coalesce("least", "doc_id").alias("component_id"),
         F.col("doc_id").eqNullSafe(F.coalesce("least", "doc_id")).alias("kept"),
     )
@@ -202,16 +211,20 @@ def verdicts(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32
 
 def near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (least doc_id reachable), kept."""
-    return verdicts(docs, **params).drop("text_key")
+    return verdicts(docs, **params).drop("text_key", "label")
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """The documents of each group with its least doc_id, with their own columns; of rows with equal
-    doc_id and text, one."""
-    said = verdicts(docs, **params).groupBy(F.col("doc_id").alias("said_id"), F.col("text_key").alias("said_key")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
-    said = materialize(said.filter("NOT kept OR n > 1"), "near-dup-said")
+    """One document of each group, with its own columns: the one with the least doc_id, a null doc_id
+    last, and of those the least hash of the text; of rows equal in both, any one. Documents with an
+    empty set are in no group and all stay."""
+    said = verdicts(docs, **params).filter("label IS NOT NULL").groupBy("label", F.col("doc_id").alias("said_id"), F.col("text_key").alias("said_key")).agg(F.count("*").alias("n"))
+    said = materialize(said, "near-dup-said")
+    first = materialize(said.groupBy("label").agg(F.min(F.struct(F.col("said_id").isNull().alias("none"), "said_id", "said_key")).alias("first")), "near-dup-first")
+    is_first = F.col("said_id").eqNullSafe(F.col("first.said_id")) & (F.col("said_key") == F.col("first.said_key"))
+    judged = materialize(said.join(first, "label").select("said_id", "said_key", "n", is_first.alias("first")).filter("NOT first OR n > 1"), "near-dup-judged")
     keyed = docs.select(F.struct("*").alias("row"), F.xxhash64("text").alias("row_key"))
     here = F.col("row.doc_id").eqNullSafe(F.col("said_id")) & (F.col("row_key") == F.col("said_key"))
-    once = keyed.join(said, here, "left_anti")
-    again = keyed.join(said.filter("kept"), here, "left_semi").select("row", F.col("row.doc_id").alias("id"), "row_key").dropDuplicates(["id", "row_key"])
+    once = keyed.join(judged, here, "left_anti")
+    again = keyed.join(judged.filter("first"), here, "left_semi").select("row", F.col("row.doc_id").alias("id"), "row_key").dropDuplicates(["id", "row_key"])
     return once.select("row.*").union(again.select("row.*"))

@@ -57,8 +57,8 @@ def family(rng, base, copies, edits):
         yield " ".join(w)
 
 
-def run(spark, rows, **params):
-    df = spark.createDataFrame([(i, t, "clash", 7) for i, t in rows], SCHEMA)
+def run(spark, docs, **params):
+    df = spark.createDataFrame([(i, t, "clash", 7) for i, t in docs], SCHEMA)
     return sorted(map(tuple, near_dup.near_duplicates(df, **params).collect()), key=repr)
 
 
@@ -104,3 +104,32 @@ def test_keep_one_tells_rows_of_one_id_apart_by_text(spark):
     kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     want = [(1, "a b c d e f"), (3, "said twice over"), (None, "null and twice"), (None, "quite other words")]
     assert sorted(map(tuple, kept.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_keep_one_leaves_one_of_each_group_and_all_without_words(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "ONE two three four five six seven eight nine ten eleven twelve"
+    c = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, a), (None, b), (7, c), (7, c + " tail"), (8, c), (None, None), (None, None), (9, ""), (9, " ")]
+    kept = near_dup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), percent=80)
+    got = sorted(map(tuple, kept.collect()), key=repr)
+    assert len(got) == 6 and got.count((None, None)) == 2 and (9, "") in got and (9, " ") in got
+    assert sum(r[0] is None and r[1] in (a, b) for r in got) == 1 and sum(r[0] == 7 for r in got) == 1
+
+
+def test_the_exact_join_misses_no_link(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(6):
+        base = " ".join(f"w{rng.randrange(900)}" for _ in range(150))
+        texts += [base, *family(rng, base, 12, 14)]
+    rows = list(enumerate(texts))
+    # one band of many rows proposes next to nothing: only the exact join finds the links
+    assert run(spark, rows, width=4, bands=1, rows=40, exact=True) == brute(rows, 4, 80)
+
+
+def test_a_chain_of_any_length_is_one_component(spark):
+    from quillon.llm.components import components
+
+    edges = spark.range(400).selectExpr("id AS a", "id + 1 AS b").union(spark.range(300).selectExpr("5000 AS a", "id + 6000 AS b"))
+    got = {r.node: r.label for r in components(edges).collect()}
+    assert len(got) == 702 and all(v == (0 if k <= 400 else 5000) for k, v in got.items())
