@@ -85,21 +85,23 @@ g AS (SELECT a.rid, a.i, a.word AS x, b.word AS y, c.word AS z FROM w a JOIN w b
 gg AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, x, y, z) AS n FROM g) WHERE n > 1),
 r AS (SELECT rid, count(DISTINCT i + k) AS n FROM gg, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
 wc AS (SELECT rid, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY rid),
-l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t),
-lc AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+ll AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM t),
+lc AS (SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n FROM ll WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 m AS (SELECT t.doc_id, t.source, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
              length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, coalesce(lc.n, 0) AS n_dup_lines,
              coalesce(n_lines, 0) AS n_lines, coalesce(r.n, 0) AS n_repeat_words
       FROM t LEFT JOIN wc USING (rid) LEFT JOIN lc USING (rid) LEFT JOIN r USING (rid)),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m),
-c AS (SELECT *, (base_failed OR 2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines) AS failed FROM b),
-h AS (SELECT source, CAST(count(*) AS DOUBLE) AS docs, CAST(count(*) FILTER (WHERE failed) AS DOUBLE) AS bad FROM c GROUP BY source),
+c AS (SELECT *, (2 * n_symbols > n_words OR 2 * n_dup_lines > n_lines) AS weak_failed FROM b),
+h AS (SELECT source, CAST(count(*) AS DOUBLE) AS docs, CAST(count(*) FILTER (WHERE base_failed OR weak_failed) AS DOUBLE) AS bad FROM c GROUP BY source),
 p AS (SELECT sum(bad) / sum(docs) AS mean, avg(bad / docs) AS m1, avg((bad / docs) * (bad / docs)) AS m2 FROM h),
 q AS (SELECT mean, greatest(mean * (1 - mean) / greatest(m2 - 2 * mean * m1 + mean * mean, 1e-9) - 1, 1.0) AS strength FROM p),
-v AS (SELECT source, (bad + mean * strength) / (docs + strength) > 0.9 AS rejected FROM h, q)
+l AS (SELECT *, least(0.9, greatest(0.5, mean + 3 * sqrt(mean * (1 - mean) / (strength + 1)))) AS reject_above FROM q),
+m2 AS (SELECT source, mean, reject_above, (bad + mean * strength) / (docs + strength) AS m, docs + strength + 1 AS n FROM h, l),
+v AS (SELECT source, m - 2 * sqrt(m * (1 - m) / n) > reject_above AS rejected, m + 2 * sqrt(m * (1 - m) / n) < mean / 2 AS cleared FROM m2)
 SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-       (NOT base_failed AND NOT v.rejected) AS kept
+       (NOT base_failed AND NOT v.rejected AND (NOT weak_failed OR v.cleared)) AS kept
 FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source
 """
 

@@ -10,15 +10,15 @@ from quillon.llm import secret_scan
 
 from .test_decontam import words as item_words
 from .test_near_dup import brute as components
-from .test_rules import brute_quality, brute_targets
+from .test_rules import brute_kept as brute_verdicts
+from .test_rules import brute_targets
 
 SF = "/root/testdata/sf0.001"
 
 
 def brute_kept(rows):
     """doc_id: (text, source) after the first four stages."""
-    counts = {r["doc_id"]: brute_quality(r["text"]) for r in rows}
-    rows = [r for r in rows if counts[r["doc_id"]][0] >= 50 and 100 * counts[r["doc_id"]][4] <= 50 * counts[r["doc_id"]][0]]
+    rows = [r for r, keep in zip(rows, brute_verdicts([(r["text"], r["source"]) for r in rows]), strict=True) if keep]
     kept = {i for i, _, _, keep in components([(r["doc_id"], r["text"]) for r in rows], 5, 80) if keep}
     rows = [r for r in rows if r["doc_id"] in kept]
     windows = set()

@@ -98,7 +98,7 @@ def brute_quality(t):
 
 def test_quality_counts_match_brute_force(spark):
     rng = random.Random(9)
-    texts = [None, "", " \n", "a", "a a", "a a a", "a a a a", "é\u00a0b #*", "x\r\nx\r\n", " ".join(["w"] * 5000)]
+    texts = [None, "", " \n", "a", "a a", "a a a", "a a a a", "é\u00a0b #*", "x\r\nx\r\n", " ".join(["w"] * 5000), " ".join(f"u{i % 29_990}" for i in range(30_000)), "same row", "same row"]
     texts += [rng.choice(["\n", " "]).join(rng.choice("abcdef") for _ in range(rng.randrange(60))) for _ in range(150)]
     texts += [r["text"] for r in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).slice(0, 200).to_pylist()]
     df = spark.createDataFrame([(i, t, None if i % 7 == 0 else f"s{i % 5}", 1) for i, t in enumerate(texts)], "doc_id long, text string, source string, n_words int")
@@ -110,13 +110,47 @@ def test_quality_counts_match_brute_force(spark):
     assert quality.quality(df.limit(0)).collect() == []
 
 
-def test_bad_hosts_are_rejected_and_good_ones_are_not(spark):
-    good = " ".join(f"w{i}" for i in range(60))
-    rows = [(i, good, f"host{i % 10}") for i in range(400)] + [(1000 + i, "short", "spam") for i in range(60)] + [(2000, good, "spam"), (2001, good, "new"), (2002, "short", "small")]
-    kept = {r.doc_id: r.kept for r in quality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(kept[i] for i in range(400)) and not kept[2000] and kept[2001] and not kept[2002]
+def brute_kept(rows):
+    """The verdict on (text, source) rows, from plain numbers: each document's failures, then its host's."""
+    fails = []
+    for t, _ in rows:
+        n, _, symbols, dup, rep = brute_quality(t)
+        lines = sum(bool(re.search(WORD, x)) for x in (t or "").split("\n"))
+        fails.append((n < 50 or 100 * rep > 50 * n, 2 * symbols > n or 2 * dup > lines))
+    docs, bad = Counter(s for _, s in rows), Counter(s for (_, s), f in zip(rows, fails, strict=True) if any(f))
+    mean, rates = sum(bad.values()) / len(rows), [bad[s] / docs[s] for s in docs]
+    spread = sum((r - mean) ** 2 for r in rates) / len(rates)
+    strength = max(mean * (1 - mean) / max(spread, 1e-9) - 1, 1)
+    limit = min(0.9, max(0.5, mean + 3 * (mean * (1 - mean) / (strength + 1)) ** 0.5))
+    out = []
+    for (_, s), (base, weak) in zip(rows, fails, strict=True):
+        m = (bad[s] + mean * strength) / (docs[s] + strength)
+        sd = (m * (1 - m) / (docs[s] + strength + 1)) ** 0.5
+        out.append(not base and not m - 2 * sd > limit and (not weak or m + 2 * sd < mean / 2))
+    return out
+
+
+@pytest.mark.parametrize("broadcast_bytes", [quality.BROADCAST_BYTES, -1])
+def test_hosts_decide_what_weak_failures_count_for(spark, broadcast_bytes):
+    good, odd = " ".join(f"w{i}" for i in range(60)), " ".join(["###"] * 3 + [f"w{i}#" for i in range(60)])
+    rows = [(i, good, f"host{i % 10}") for i in range(400)] + [(1000 + i, "short", "spam") for i in range(60)] + [(1100 + i, odd, f"host{i}") for i in range(2)]
+    rows += [(2000, good, "spam"), (2001, good, "new"), (2002, "short", "small"), (2003, odd, "small")]
+    rows += [(3000 + i, good, None) for i in range(2000)] + [(6000, odd, None)] + [(7000 + i, odd if i % 5 == 0 else good, "mid") for i in range(50)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    assert quality.keep_good(df).columns == df.columns and quality.keep_good(df).count() == 401
+    kept = {r.doc_id: r.kept for r in quality.quality(df, broadcast_bytes=broadcast_bytes).collect()}
+    assert [kept[i] for i, _, _ in rows] == brute_kept([r[1:] for r in rows])
+    assert all(kept[i] for i in range(400)) and not kept[2000] and kept[2001] and not kept[2002]  # a host of junk takes its good document along
+    assert kept[6000] and not kept[2003] and not kept[7000] and kept[7001]  # a weak failure stays in a clean host only
+    good_rows = quality.keep_good(df, broadcast_bytes=broadcast_bytes)
+    assert good_rows.columns == df.columns and sorted(r.doc_id for r in good_rows.collect()) == sorted(i for i in kept if kept[i])
+
+
+def test_weak_failures_act_on_driver_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    rows = {r.doc_id: r for r in quality.quality(docs).collect()}
+    quality_of = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    gone = [i for i, r in rows.items() if not r.base_failed and not r.kept]
+    assert len(gone) > 100 and all(quality_of.get(i, 0) == 0 for i in gone)
 
 
 # mixing
