@@ -113,7 +113,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
     own = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_key"), "text")
     here = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_key") == F.col("text_key"))
-    met = own.join(wanted, here).select("cls", "text", "copies")
+    met = own.join(wanted.hint("merge"), here).select("cls", "text", "copies")  # wanted grows with the documents: never broadcast
     if wanted.filter("copies > 1").limit(1).count():  # rows that repeat, in doc_id too, give one set
         met = met.filter("copies = 1").union(met.filter("copies > 1").dropDuplicates(["cls"]))
     return met.select("cls", "text").mapInArrow(run, "cls binary, set array<long>")
