@@ -8,9 +8,12 @@ window could begin; then all its words are compared in place, so a hit is an exa
 The windows are broadcast only if their measured size is small; else they are joined by a shuffle
 on the prefix token and the candidates are verified after a join back to the documents.
 
-Defined cases: null and empty texts have no words; null item ids count as ''; rows with equal doc_id
-and text are judged alike and each returned; an empty benchmark hits nothing; an empty table gives
-no rows; other columns are ignored.
+Texts are split into words once, into a table that the count, the search and the result share.
+
+Defined cases: null and empty texts have no words; a very long text is searched whole, in parts that
+overlap by a window; of equally rare words of a window the least one, at its first place, is the prefix;
+null item ids count as ''; rows with equal doc_id and text are judged alike and each returned; an empty
+benchmark hits nothing; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import words
+from quillon.llm.common import materialize, words
 
 #: Letters and digits in ASCII, and everything beyond it.
 ITEM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -58,16 +61,15 @@ PART = 4096
 
 
 def tokens(docs: DataFrame, width: int) -> DataFrame:
-    """docs (doc_id, text_key, w): a row per word, and one with an empty word per document: doc_id,
-    text_key, n_words, pos, token, around (the words from base on in which every window of the word lies)."""
+    """docs (doc_id, text_key, n_words, w): a row per word: doc_id, text_key, n_words, pos, token, around
+    (the words from base on in which every window of the word lies)."""
     pad = width - 1
     base = lambda c: F.greatest(c * PART - pad, F.lit(0))
     part = lambda c: F.struct((c * PART).alias("at"), base(c).alias("base"), F.slice("w", base(c) + 1, F.lit(PART + 2 * pad)).alias("around"))
-    parts = docs.select("doc_id", "text_key", F.size("w").alias("n_words"), F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size("w") - 1, F.lit(0)) / PART).cast("int")), part)).alias("p"))
+    parts = docs.filter("n_words > 0").select("doc_id", "text_key", "n_words", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("n_words") - 1) / PART).cast("int")), part)).alias("p"))
     parts = parts.select("doc_id", "text_key", "n_words", "p.at", "p.base", "p.around")
     own = F.slice("around", F.col("at") - F.col("base") + 1, F.lit(PART))
-    parts = parts.withColumn("own", F.when(F.col("at") == 0, F.array_append(own, F.lit(""))).otherwise(own))
-    return parts.select("doc_id", "text_key", "n_words", "at", "base", "around", F.posexplode("own").alias("i", "word")).select(
+    return parts.select("doc_id", "text_key", "n_words", "at", "base", "around", F.posexplode(own).alias("i", "word")).select(
         "doc_id", "text_key", "n_words", (F.col("at") + F.col("i")).alias("pos"), F.lower("word").alias("token"), "base", "around"
     )
 
@@ -75,41 +77,37 @@ def tokens(docs: DataFrame, width: int) -> DataFrame:
 def verdicts(docs: DataFrame, benchmark: DataFrame, width: int = 13, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """A row per row of docs: doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated."""
     base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text"), ITEM_WORD).alias("w"))
-    windows = item_windows(benchmark, width)
+    base = materialize(base.select("doc_id", "text_key", F.size("w").alias("n_words"), "w"), "decontam-words")
+    windows = materialize(item_windows(benchmark, width), "decontam-windows")
     held = windows.agg(F.sum(F.length("window") * 2 + F.length(F.array_join("items", " ")) + 256)).first()[0] or 0
     small = held * 4 <= broadcast_bytes  # characters may be 4 bytes
-    plan = with_prefix(windows, base, small)
-    # every document has an empty word, which meets this row: documents without hits stay
-    end = docs.sparkSession.createDataFrame([("", 0, [], "", 0)], "window string, size int, items array<string>, token string, offset int")
-    plan = plan.union(end)
+    plan = materialize(with_prefix(windows, base, small), "decontam-plan")
     said = tokens(base, width)
+    # first the bounds, then every word
     start = F.col("pos") - F.col("offset")
-    # first the bounds, then every word; the empty word's row has no words to compare
-    bounds = (F.col("token") == "") | ((start >= 0) & (start + F.col("size") <= F.col("n_words")))
-    same = lambda w, at: F.when(F.col("size") > 0, folded(F.slice(w, F.greatest(at, F.lit(0)) + 1, F.col("size"))) == F.col("window")).otherwise(F.lit(True))
-    out = ["doc_id", "text_key", "n_words", start.alias("start"), "size", "items"]
+    bounds = (start >= 0) & (start + F.col("size") <= F.col("n_words"))
+    same = lambda w, at: folded(F.slice(w, F.greatest(at, F.lit(0)) + 1, F.col("size"))) == F.col("window")
+    out = ["doc_id", "text_key", start.alias("start"), "size", "items"]
     if small:
         hits = said.join(F.broadcast(plan), "token").filter(F.when(bounds, same("around", start - F.col("base"))).otherwise(F.lit(False))).select(*out)
     else:
         near = said.drop("base", "around").join(plan, "token").filter(bounds).select("window", *out)
-        own = base.filter(F.size("w") > 0).select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "w").dropDuplicates(["own_id", "own_key"])
+        own = base.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), "w").dropDuplicates(["own_id", "own_key"])
         here = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key"))
-        hits = near.join(own, here, "left").filter(same("w", F.col("start"))).select("doc_id", "text_key", "n_words", "start", "size", "items")
-    by_doc = hits.groupBy("doc_id", "text_key").agg(
-        F.max("n_words").alias("n_words"),
-        F.count_if(F.col("size") == 0).alias("copies"),
-        F.collect_set(F.when(F.col("size") > 0, F.struct("start", "size"))).alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
+        hits = near.join(own, here).filter(same("w", F.col("start"))).select("doc_id", "text_key", "start", "size", "items")
+    by_doc = hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "size")).alias("places"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
     hit = F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p["start"], p["start"] + p["size"] - 1))))
-    return by_doc.select("doc_id", "text_key", F.col("n_words").cast("long"), F.size(hit).cast("long").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
+    by_doc = materialize(by_doc.select(F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), F.size(hit).cast("long").alias("n_hit"), "items"), "decontam-hits")
+    here = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_key") == F.col("hit_key"))
+    items = F.coalesce("items", F.array().cast("array<string>"))
+    return base.select("doc_id", "text_key", F.col("n_words").cast("long").alias("n_words")).join(by_doc, here, "left").select(
         "doc_id",
         "text_key",
         "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        (F.col("n_hit") > 0).alias("contaminated"),
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(items), ","), 256).alias("items_sha256"),
+        F.col("n_hit").isNotNull().alias("contaminated"),
     )
 
 
