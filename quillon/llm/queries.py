@@ -129,7 +129,7 @@ FROM d LEFT JOIN hits ON hits.rid = d.rid LEFT JOIN its ON its.rid = d.rid
 OP7 = r"""
 WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, coalesce(url, '') AS url, regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1) AS raw, coalesce(rest, '') AS rest FROM a),
-c AS (SELECT page_id, url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+c AS (SELECT page_id, url_decode(url) AS url, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
              regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM b),
 r(verdict, h, p) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict

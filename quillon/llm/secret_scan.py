@@ -8,10 +8,13 @@ Spans count code points, end exclusive. Kinds, in order:
 * npm: ``npm_`` tokens with the same checksum;
 * card: 13 to 19 digits after a card keyword that pass the Luhn check;
 * jwt: three base64url parts whose first decodes to a JSON header with an algorithm;
-* pem: private key blocks, header to footer.
+* pem: private key blocks, header to footer, encrypted ones too, whose data is base64; of PGP blocks the
+  CRC-24 at their end must be right.
 
-Defined cases: a null text is empty; repeated rows are scanned each by itself; other columns are
-ignored; an empty table gives no rows.
+Defined cases: a null and an empty text have no spans; very long texts are scanned whole, in time that
+grows with their length only; spans of several kinds may overlap, and those that begin together are
+ordered by kind; repeated rows are scanned each by itself; other columns are ignored; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -59,7 +62,7 @@ def jwt_header(m: re.Match) -> bool:
     part = m[0].split(".")[0]
     try:
         head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except (ValueError, binascii.Error):
+    except (ValueError, binascii.Error, RecursionError):
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -69,6 +72,32 @@ def card_number(m: re.Match) -> bool:
     return 13 <= len(digits) <= 19 and luhn(digits)
 
 
+def crc24(data: bytes) -> int:
+    """The checksum of OpenPGP's armour."""
+    crc = 0xB704CE
+    for x in data:
+        crc ^= x << 16
+        for _ in range(8):
+            crc = (crc << 1) ^ (0x1864CFB if crc & 0x800000 else 0)
+    return crc & 0xFFFFFF
+
+
+def key_block(m: re.Match) -> bool:
+    """Whether the data of a key block, its header lines left out, is base64, with a right checksum if it has one."""
+    lines = [x.strip() for x in m["body"].splitlines()]
+    data = [x for x in lines if x and ":" not in x]
+    check = data.pop() if data and re.fullmatch(r"=[A-Za-z0-9+/]{4}", data[-1]) else None
+    joined = "".join(x for line in data for x in line.split())
+    if not joined or not re.fullmatch(r"[A-Za-z0-9+/]+={0,2}", joined):
+        return False
+    if check is None:
+        return True
+    try:
+        return crc24(base64.b64decode(joined, validate=True)) == int.from_bytes(base64.b64decode(check[1:]))
+    except binascii.Error:
+        return False
+
+
 #: kind: (keywords in lower case, pattern tried at a keyword, what a match must pass)
 ANCHORED = {
     "assign": (
@@ -80,9 +109,11 @@ ANCHORED = {
     "github": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), checksummed),
     "npm": (("npm_",), re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"), checksummed),
     "card": (("card", "visa", "mastercard"), re.compile(r"(?i:mastercard|card|visa)[\x20#:=]{0,4}(?:no\.?|number)?[\x20#:=]{0,4}([0-9](?:[\x20-]?[0-9]){12,18})(?![0-9])", re.ASCII), card_number),
-    "jwt": (("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{10,}"), jwt_header),
-    "pem": (("-----begin ",), re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END (?:[A-Z]+ )?PRIVATE KEY-----", re.ASCII), bool),
+    "jwt": (("eyj",), re.compile(r"eyJ[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{5,}+\.[A-Za-z0-9_-]{10,}+"), jwt_header),
+    "pem": (("-----begin ",), re.compile(r"-----BEGIN (?P<kind>(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?)-----(?P<body>(?:[^-]++|-(?!----))*+)-----END (?P=kind)-----"), key_block),
 }
+#: Where a kind's match fails at a start, it fails at every later one up to the end of this.
+FAILS_UPTO = {"jwt": re.compile(r"eyJ[A-Za-z0-9_-]*+")}
 #: A run of hex digits needs no keyword; only runs of the full length are ever matched.
 HEX = re.compile(r"[0-9a-f]{32,}")
 
@@ -115,12 +146,16 @@ def find_secrets(text: str) -> list[tuple[int, int, str]]:
     spans = [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     for kind, places in starts.items():
         _, pattern, passes = ANCHORED[kind]
-        upto = 0
+        skip, upto = FAILS_UPTO.get(kind), 0
         for at in sorted(places):
-            if at >= upto and (m := pattern.match(text, at)):
+            if at < upto:
+                continue
+            if m := pattern.match(text, at):
                 upto = m.end()
                 if passes(m):
                     spans.append((m.start(), m.end(), kind))
+            elif skip and (m := skip.match(text, at)):
+                upto = m.end()
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
 

@@ -1,16 +1,23 @@
 """URL filters: host rules first, then a weighted vocabulary found by one Aho-Corasick automaton.
 
 A strict term rejects a url by itself; soft terms reject it when the weights of the distinct ones
-reach a sum, which any two of the default vocabulary do. A term only counts between boundaries: no letter or digit may touch it, so that a
-place name that holds a term inside a longer word is left alone.
+reach a sum, which any two of the default vocabulary do. Terms are sought in the url as it reads with its
+percent escapes decoded. A term only counts between boundaries: no letter or digit may touch it, so that
+a place name that holds a term inside a longer word is left alone.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule;
-its text is still searched for terms. Repeated rows are judged each by itself.
+The vocabulary is a parameter; ``load_vocabulary`` reads one from a table. Rules fit the url as it is.
+
+Defined cases: a null or empty url, or one without ``://``, has an empty host and path and fits no rule;
+its text is still searched for terms. A very long url is searched whole. Of rules that fit, the longest
+wins; no two of one length may differ. Escapes that aren't UTF-8 read as U+FFFD. Repeated rows are
+judged each by itself; a null page_id stays; an empty table gives no rows; other columns, also of the
+output's names, are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 import ahocorasick
 import pandas as pd
@@ -75,18 +82,17 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 def automaton(strict: Sequence[str], soft: dict[str, float]) -> ahocorasick.Automaton:
     a = ahocorasick.Automaton()
-    for term in strict:
-        a.add_word(term, (term, None))
-    for term, weight in soft.items():
+    for term, weight in (*soft.items(), *((t, None) for t in strict)):
         a.add_word(term, (term, weight))
-    a.make_automaton()
+    if len(a):
+        a.make_automaton()
     return a
 
 
 def term_hits(url: str, a: ahocorasick.Automaton) -> tuple[int, list[str], float]:
     """Distinct strict terms, distinct soft terms and the sum of their weights."""
-    low, strict, soft = url.lower(), set(), {}
-    for end, (term, weight) in a.iter(low):
+    low, strict, soft = unquote(url).lower(), set(), {}
+    for end, (term, weight) in a.iter(low) if len(a) else ():
         start = end - len(term) + 1
         if (start and low[start - 1].isalnum()) or (end + 1 < len(low) and low[end + 1].isalnum()):
             continue
@@ -97,6 +103,14 @@ def term_hits(url: str, a: ahocorasick.Automaton) -> tuple[int, list[str], float
     return len(strict), sorted(soft), sum(soft.values())
 
 
+def load_vocabulary(terms: DataFrame) -> dict:
+    """Parameters strict and soft of filter_urls from a table (term, weight), where a strict term's weight is null.
+    The vocabulary goes to every worker as a whole, so it comes to the driver."""
+    rows = terms.select(F.lower(F.trim("term")).alias("term"), F.col("weight").cast("double").alias("weight")).filter("term <> ''").collect()
+    strict = sorted({r["term"] for r in rows if r["weight"] is None})
+    return {"strict": tuple(strict), "soft": {r["term"]: r["weight"] for r in sorted(rows, key=lambda r: (r["term"], r["weight"] or 0)) if r["weight"] is not None and r["term"] not in strict}}
+
+
 def score_urls(urls: Column, strict: Sequence[str] = STRICT, soft: dict[str, float] | None = None) -> Column:
     soft = SOFT if soft is None else soft
     held: list[ahocorasick.Automaton] = []

@@ -59,6 +59,44 @@ def test_checksums_decide():
     assert secret_scan.redact(f"a {pem} b", secret_scan.find_secrets(f"a {pem} b")) == "a [pem] b"
 
 
+def test_key_blocks_of_all_forms():
+    import os
+
+    body = base64.b64encode(os.urandom(300)).decode()
+    enc = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123ABCD-9\n\n{body[:64]}\n{body[64:]}\n-----END RSA PRIVATE KEY-----"
+    crc = base64.b64encode(secret_scan.crc24(base64.b64decode(body)).to_bytes(3)).decode()
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: GnuPG v2\n\n{body}\n={crc}\n-----END PGP PRIVATE KEY BLOCK-----"
+    assert secret_scan.crc24(b"123456789") == 0x21CF02
+    for block in (enc, pgp, enc.replace("RSA ", "")):
+        assert [s for s in secret_scan.find_secrets(f"x {block} y") if s[2] == "pem"] == [(2, 2 + len(block), "pem")]
+    for other in (pgp.replace(f"={crc}", "=AAAA"), enc.replace(body[:64], "not base64!"), enc.replace("END RSA", "END DSA"), "-----BEGIN PRIVATE KEY----------END PRIVATE KEY-----"):
+        assert not [s for s in secret_scan.find_secrets(other) if s[2] == "pem"]
+
+
+@pytest.mark.parametrize("piece", ["eyJ", "eyJaaaaaa", "eyJaaaaaa.", "-----BEGIN RSA PRIVATE KEY-----\n-", "-----BEGIN ", "password ", "token='", "secret=", "card 4 1 ", "AKIA", "abcdef0123", "ghp_", " ", "eyJ" + "W" * 9])
+def test_hostile_texts_take_linear_time(piece):
+    import time
+
+    start = time.perf_counter()
+    secret_scan.find_secrets(piece * (1_000_000 // len(piece)))
+    deep = base64.urlsafe_b64encode(b'{"a":' * 200_000).decode()
+    secret_scan.find_secrets(f"{deep}.aaaaaa.bbbbbbbbbbbb")
+    assert time.perf_counter() - start < 4
+
+
+def test_a_run_that_fails_hides_no_later_token():
+    head = base64.urlsafe_b64encode(json.dumps({"alg": "HS256"}).encode()).decode().rstrip("=")
+    good = f"{head}.eyJzdWIiOjF9.abcdefghijk"
+    for before in ("eyJaaa ", "EYJaaaaaaa", "eyJaaaaaaaaa,", "eyJaaaaaaaaa.b "):
+        assert [s[2] for s in secret_scan.find_secrets(before + good)] == ["jwt"]
+
+
+def test_no_documents_no_secrets(spark):
+    df = spark.createDataFrame([(1, "", "x"), (2, "token=abcdefgh", "x"), (2, "token=abcdefgh", "x")], "doc_id long, text string, n_hex string")
+    assert sorted((r.doc_id, r.spans, r.n_hex) for r in secret_scan.scan(df).collect()) == [(1, "", 0), (2, "assign:0:14", 0), (2, "assign:0:14", 0)]
+    assert secret_scan.scan(df.limit(0)).collect() == [] and secret_scan.redact_documents(df.limit(0)).columns == df.columns
+
+
 def test_redaction_sets_the_length(spark):
     df = spark.createDataFrame([(1, "my password=abcdefgh1 é", 23, "k"), (2, None, 0, "k"), (3, "clean", 5, "k")], "doc_id long, text string, n_chars long, spans string")
     assert [(r.text, r.n_chars) for r in secret_scan.redact_documents(df).collect()] == [("my [assign] é", 13), (None, None), ("clean", 5)]
@@ -86,6 +124,18 @@ def test_hosts_of_each_kind_are_blocked_by_the_terms(spark):
     assert [got[i] for i in range(len(got))] == [(None, "block")] * len(bad) + [(None, "allow")] * len(good)
 
 
+def test_escapes_vocabularies_and_odd_urls(spark):
+    cases = [(1, "http://h.fr/%70orn", "block"), (2, "http://h.fr/a%2Fcas%69no%20poker", "block"), (3, "http://h.fr/ess%65x", "allow"), (4, "http://h.fr/%ff%zz%", "allow"), (5, "", "allow"), (None, None, "allow"), (6, "http://h.fr/" + "a/" * 500_000 + "porn", "block"), (7, "x", "allow"), (7, "x", "allow")]
+    df = spark.createDataFrame([(i, u, "clash", 1) for i, u, _ in cases], "page_id long, url string, verdict string, n_soft int")
+    assert sorted(((r.page_id, r.verdict) for r in urls.filter_urls(df).collect()), key=repr) == sorted(((i, v) for i, _, v in cases), key=repr)
+    assert urls.filter_urls(df.limit(0)).collect() == []
+    own = urls.load_vocabulary(spark.createDataFrame([(" Bad ", None), ("odd", 1.5), ("even", 0.5), ("", 1.0)], "term string, weight double"))
+    assert own == {"strict": ("bad",), "soft": {"even": 0.5, "odd": 1.5}}
+    pages = spark.createDataFrame([(1, "http://h.fr/bad"), (2, "http://h.fr/odd/even"), (3, "http://h.fr/odd"), (4, "http://h.fr/porn")], "page_id long, url string")
+    assert sorted((r.page_id, r.verdict) for r in urls.filter_urls(pages, **own).collect()) == [(1, "block"), (2, "block"), (3, "allow"), (4, "allow")]
+    assert {r.verdict for r in urls.filter_urls(pages, strict=(), soft={}).collect()} == {"allow"}
+
+
 # quality
 def brute_quality(t):
     w = re.findall(WORD, t or "")
