@@ -1,16 +1,19 @@
 """Main text of web pages: gradient-boosted trees over DOM nodes, decoded along the hierarchy.
 
-A page is parsed into its block elements. Each gets features of its subtree (text, link and tag
-density), its attributes' words, its depth and its siblings; boosted trees give it the log-odds of
-main text. The decoder then chooses the best set of nodes in which whatever is kept has all its
-ancestors kept and whatever is dropped has its whole subtree dropped, so that no article survives
-inside a dropped block and no advert inside a kept one is forced along with it.
+A page is parsed into nodes: its block elements, the inline elements that carry a name (class, id or
+role), and a node of its own for every run of loose text between blocks. Each gets features of its
+subtree (text, link and tag density), its attributes' words, its depth and its siblings; boosted trees
+give it the log-odds of main text. The decoder then chooses the best set of nodes in which whatever is
+kept has all its ancestors kept and whatever is dropped has its whole subtree dropped, so that no article
+survives inside a dropped block and no advert inside a kept one is forced along with it.
 
 The tables hold no labels for pages, so the trees are fitted to generated pages whose main text is
 known (``page_maker``), a bounded number of them, with a fixed seed.
 
-Defined cases: null and empty html have an empty text; broken markup is read as far as it goes;
-repeated rows are read each by itself; an empty table gives no rows; other columns are ignored.
+Defined cases: null and empty html have an empty text; broken markup is read as far as it goes, in time
+that grows with the page's length only; a very long page is read whole; between choices of equal worth
+a node is dropped; repeated rows are read each by itself; an empty table gives no rows; other columns,
+also of the output's names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,15 +31,20 @@ from pyspark.sql import functions as F
 
 from quillon.llm.boosting import Trees, fit_trees
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""", re.DOTALL)
+#: A comment, a declaration or a tag. Outside of quotes a tag ends at the next < at the latest.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^<>]*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: Decimal character references, whose digits may be any number.
+DECIMAL = re.compile(r"&#0*([0-9]+)")
 #: Elements whose content is never text of the page.
-SKIPPED = frozenset("script style noscript template title iframe object svg math canvas audio video textarea select button datalist".split())
+SKIPPED = frozenset("script style noscript template title iframe object canvas audio video textarea select button datalist desc metadata annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "html body article main section div aside nav header footer form fieldset p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address details summary dialog center".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks whose loose text is a node of its own.
+CONTAINERS = BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre figcaption caption summary".split()) | {""}
 #: An opening tag that ends an open one of these, up to the first of the others.
 ENDS = {
     "li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -68,19 +76,69 @@ def attribute_words(attributes: str) -> tuple[int, int]:
     return good, bad
 
 
+def unescaped(text: str) -> str:
+    """Character references decoded; numbers beyond all characters are U+FFFD, however long."""
+    if "&" not in text:
+        return text
+    return html.unescape(DECIMAL.sub(lambda m: f"&#{m[1]}" if len(m[1]) < 8 else "&#1114112;", text))
+
+
+class Open:
+    """The open nodes of a page, and where each tag and each block is open, so that no tag searches them."""
+
+    def __init__(self, nodes: list[Node]) -> None:
+        self.nodes, self.stack, self.at, self.blocks = nodes, [0], {}, [0]
+
+    def push(self, i: int) -> None:
+        tag = self.nodes[i].tag
+        self.at.setdefault(tag, []).append(len(self.stack))
+        if tag[0] not in "#~":
+            self.blocks.append(len(self.stack))
+        self.stack.append(i)
+
+    def cut(self, level: int) -> None:
+        """Closes the nodes from level on."""
+        while len(self.stack) > level:
+            tag = self.nodes[self.stack.pop()].tag
+            self.at[tag].pop()
+            if tag[0] not in "#~":
+                self.blocks.pop()
+
+    def to_block(self) -> None:
+        """Closes loose text and inline elements above the innermost block."""
+        self.cut(self.blocks[-1] + 1)
+
+    def level(self, tags) -> int:
+        """The level of the innermost open node of tags; 0 if there is none."""
+        return max((held[-1] for t in tags if (held := self.at.get(t))), default=0)
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
-    """Block nodes in page order (0 is the root) and pieces of text: (node, line, text). Pieces of one
-    line touch; a block's edge or a line break begins another line."""
-    nodes, pieces, stack = [Node("", -1, 0, 0, 0, 0)], [], [0]
-    pos, line, links, seen = 0, 0, 0, 0
+    """Nodes in page order (0 is the root) and pieces of text: (node, line, text). Pieces of one line
+    touch; a block's edge or a line break begins another line. Loose text is a node named #, a named
+    inline element one named by ~ and its tag."""
+    nodes, pieces = [Node("", -1, 0, 0, 0, 0)], []
+    held = Open(nodes)
+    stack = held.stack
+    pos, line, links, seen, skipped = 0, 0, 0, 0, {}
+
+    def add(tag: str, good: int = 0, bad: int = 0) -> None:
+        nodes.append(Node(tag, stack[-1], len(stack), seen, good, bad))
+        nodes[stack[-1]].children.append(len(nodes) - 1)
+
+    def loose() -> None:
+        if nodes[stack[-1]].tag in CONTAINERS:
+            add("#")
+            held.push(len(nodes) - 1)
 
     def say(text: str) -> None:
         nonlocal seen
         if text:
-            text = html.unescape(text) if "&" in text else text
-            node = nodes[stack[-1]]
+            text = unescaped(text)
             n = len(text.strip())
             if n:
+                loose()
+                node = nodes[stack[-1]]
                 node.own += n
                 node.links += n if links else 0
                 node.words += text.count(" ") + 1
@@ -88,16 +146,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
                 seen += n
             pieces.append((stack[-1], line, text))
 
-    def close(tags: set[str] | frozenset[str], until: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[k]].tag
-            if tag in tags:
-                del stack[k:]
-                return
-            if tag in until:
-                return
-
-    while m := TOKEN.search(page, pos):
+    end_of_tags = max(page.rfind(">"), page.rfind("<!--")) + 1
+    while pos < end_of_tags and (m := TOKEN.search(page, pos)):
         say(page[pos : m.start()])
         pos = m.end()
         if not m[2]:
@@ -109,10 +159,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
             if tag in ("button", "select", "textarea"):
                 nodes[stack[-1]].controls += 1
             if not m[3].endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*>", re.IGNORECASE).search(page, pos)
+                ends = skipped.setdefault(tag, re.compile(rf"</{tag}\b[^<>]*>?", re.IGNORECASE))
+                end = ends.search(page, pos)
                 pos = end.end() if end else len(page)
-        elif tag == "a":
-            links = 0 if closing else 1
         elif tag in ("br", "hr"):
             line += 1
         elif tag == "input":
@@ -120,22 +169,34 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
         elif tag in BLOCKS:
             line += 1
             if closing:
-                if any(nodes[i].tag == tag for i in stack[1:]):
-                    while nodes[stack.pop()].tag != tag:
-                        pass
+                if k := held.level((tag,)):
+                    held.cut(k)
+                else:
+                    held.to_block()
                 continue
             links = 0
+            held.to_block()
             if nodes[stack[-1]].tag == "p":  # no block stands in a paragraph
-                stack.pop()
-            if tag in ENDS:
-                close(*ENDS[tag])
-            good, bad = attribute_words(m[3]) if m[3] else (0, 0)
-            nodes.append(Node(tag, stack[-1], len(stack), seen, good, bad))
-            nodes[stack[-1]].children.append(len(nodes) - 1)
+                held.cut(len(stack) - 1)
+            if tag in ENDS and (k := held.level(ENDS[tag][0])) > held.level(ENDS[tag][1]):
+                held.cut(k)
+            add(tag, *attribute_words(m[3])) if m[3] else add(tag)
             if not m[3].endswith("/"):
-                stack.append(len(nodes) - 1)
+                held.push(len(nodes) - 1)
         elif tag not in VOID:
-            nodes[stack[-1]].sub_tags += 1
+            if tag == "a":
+                links = 0 if closing else 1
+            if closing:
+                # an inline element ends inside its block only
+                k = held.level((f"~{tag}",))
+                if k > held.blocks[-1]:
+                    held.cut(k)
+            else:
+                nodes[stack[-1]].sub_tags += tag != "a"
+                if m[3] and not m[3].endswith("/") and ATTRIBUTE.search(m[3]):
+                    loose()
+                    add(f"~{tag}", *attribute_words(m[3]))
+                    held.push(len(nodes) - 1)
     say(page[pos:])
     for i in range(len(nodes) - 1, -1, -1):
         x = nodes[i]
@@ -163,7 +224,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
         rows.append([
             x.tag == "p", x.tag in HEADINGS, x.tag in ("ul", "ol", "li", "dl", "dt", "dd"), x.tag in ("div", "section", "body", "html", ""), *own, *a,
             math.log1p(x.own), math.log1p(x.sub), x.sub / total, x.sub_links / max(x.sub, 1), math.log1p(x.sub / (x.sub_tags + 1)), x.depth,
-            len(sib), x.sub / max(around, 1), math.log1p(around / len(sib)), x.marks / max(x.words, 1), x.controls, x.start / total, a[0] > 0 or own[0], a[1] > 0 or own[1],
+            x.tag == "#", x.tag[:1] == "~", len(sib), x.sub / max(around, 1), math.log1p(around / len(sib)), x.marks / max(x.words, 1), x.controls, x.start / total, a[0] > 0 or own[0], a[1] > 0 or own[1],
         ])
     return rows
 

@@ -31,7 +31,7 @@ class Maker:
         marked = [MARK + w for w in text.split()]
         if inline < 0.2 and len(marked) > 4:
             k = self.r.randrange(len(marked) - 2)
-            tag = self.r.choice(["b", "em", "a href='/x'", "span", "code"])
+            tag = self.r.choice(["b", "em", "a href='/x'", "span", "code", f"span class='{self.word()}'", f"a class='{self.word()}-link' href='/x'", f"em id='{self.word()}'"])
             marked[k] = f"<{tag}>{marked[k]}</{tag.split()[0]}>"
         return " ".join(marked)
 
@@ -40,6 +40,21 @@ class Maker:
             return self.r.choice(["", f' class="{self.word()}-{self.r.randrange(99)}"'])
         return f' {self.r.choice(["class", "class", "id"])}="{self.r.choice(words)}{self.r.choice(["", "", "-box", "_inner", "-1", " wide"])}"'
 
+    def paragraph(self) -> str:
+        """Main text, now and then with a named inline advert or note in it."""
+        text = self.main(self.sentences(1, 7))
+        if self.r.random() < 0.12:
+            tag = self.r.choice(["span", "span", "a href='/b'", "em", "ins"])
+            inline = f"<{tag} {self.r.choice(['class', 'class', 'id'])}='{self.r.choice(['ad', 'ads', 'advert', 'sponsored', 'promo', 'share', 'newsletter'])}{self.r.choice(['', '', '-1', '-inline', '_x'])}'>{self.words(2, 7)}</{tag.split()[0]}>"
+            text = self.r.choice([f"{text} {inline}", f"{inline} {text}", f"{text} {inline} {self.main(self.sentences(1, 3))}"])
+        return text
+
+    def stray(self) -> str:
+        """Loose text outside of any block: links, a slogan, a credit."""
+        k = self.r.random()
+        links = self.r.choice([" ", " | ", " &middot; "]).join(f'<a href="/{self.word()}">{self.words(1, 3)}</a>' for _ in range(self.r.randrange(1, 6)))
+        return links if k < 0.5 else self.words(1, 6).capitalize() if k < 0.8 else f"{links} {self.words(1, 5)}"
+
     def links(self, n: int, lo: int = 1, hi: int = 4) -> str:
         items = [f'<a href="/{self.word()}">{self.words(lo, hi)}</a>' for _ in range(n)]
         return self.r.choice([f"<ul>{''.join(f'<li>{x}</li>' for x in items)}</ul>", " | ".join(items), "".join(f"<div>{x}</div>" for x in items)])
@@ -85,7 +100,7 @@ class Maker:
                 parts.append(f"<p>{self.main(self.words(1, 6))}</p>")
                 continue
             if k < 0.7:
-                parts.append(f"<p>{self.main(self.sentences(1, 7))}" + r.choice(["</p>", "</p>", "</p>", ""]))
+                parts.append(f"<p>{self.paragraph()}" + r.choice(["</p>", "</p>", "</p>", ""]))
             elif k < 0.78:
                 parts.append(f"<h2>{self.main(self.words(1, 7))}</h2>")
             elif k < 0.86:
@@ -101,6 +116,8 @@ class Maker:
         body = "".join(parts)
         if r.random() < 0.3:
             body = f"<div{self.attrs(['content', 'entry', 'text'])}>{body}</div>"
+        elif r.random() < 0.1:  # no paragraphs, only line breaks
+            body = "<br><br>".join(self.main(self.sentences(2, 7)) for _ in range(r.randrange(1, 6)))
         return self.block(["article", "article", "main", "div", "section"], ["content", "article", "post", "entry", "story"], body)
 
     def page(self) -> str:
@@ -109,7 +126,10 @@ class Maker:
         after = [f() for f in (self.sidebar, self.comments, self.form, self.advert, self.notice, self.sidebar) if r.random() < 0.45]
         r.shuffle(before)
         r.shuffle(after)
-        middle = "".join([*before, self.article(), *after])
+        loose = [self.stray() if r.random() < 0.25 else "" for _ in range(4)]
+        before.insert(r.randrange(len(before) + 1), loose[0])
+        after.insert(r.randrange(len(after) + 1), loose[1])
+        middle = "".join([*before, loose[2] and f"{loose[2]}\n", self.article(), loose[3], *after])
         if r.random() < 0.4:
             middle = f"<div{self.attrs(['page', 'wrapper', 'container'])}>{middle}</div>"
         if r.random() < 0.8:
