@@ -1,14 +1,17 @@
 """Language ID by compression: a text belongs to the language whose zstandard raw-content dictionary
 makes it smallest.
 
-Dictionaries are built from a bounded sample of labelled rows: of each language, ``sample_docs``
-rows in a hash order, of each at most ``sample_chars`` characters, ``dict_bytes`` in all. Whole
-texts are encoded, in pieces that each begin at the dictionary, so that a long text is judged by
-all its parts and not by what it repeats of itself.
-
-Defined cases: a null text, and one without any letter, is ``und`` with score 0; a null lang and a
-null doc_id teach nothing; repeated rows are predicted each by itself; without any labelled row
-every text is ``und``; an empty table gives no rows; other columns are ignored.
+Dictionaries are built from a bounded sample of labelled rows: of each language, about ``sample_docs``
+rows in a hash order, whose whole texts are cut into pieces; of these, ``pieces`` in another hash order
+make the dictionary, so that every part of a text is as likely to be learned from. Whole texts are
+encoded, in pieces that each begin at the dictionary, so that a long text is judged by all its parts and
+not by what it repeats of itself.
+
+Defined cases: a null text, and one without any letter (of Unicode's category L), is ``und`` with score 0;
+a very long text is encoded whole; languages of equal size are settled in favour of the one with more
+labelled rows, then by name; a null lang and a null doc_id teach nothing; a null source changes nothing;
+repeated rows are predicted each by itself; without any labelled row every text is ``und``; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,32 +20,34 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LETTER = re.compile(r"[^\W\d_]")
+from quillon.llm.common import materialize
+
+LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
-def sample(docs: DataFrame, usable: Column, sample_docs: int, sample_chars: int, most_langs: int = 1_000) -> DataFrame:
-    """(lang, text, key, rows of the language): about the first sample_docs usable rows of each language by a hash of doc_id.
+def sample(docs: DataFrame, usable: Column, sample_docs: int, pieces: int, piece_chars: int) -> DataFrame:
+    """(lang, text, nth, rows of the language): of each language the first ``pieces`` pieces, in a hash order, of
+    the whole texts of about its first sample_docs usable rows by a hash of doc_id.
 
-    The hash range that holds them follows from the languages' counts, of which most_langs at most come
-    to the driver; a filter in the scan applies it, so no language is joined, sorted or gathered as a whole.
+    The hash range that holds those rows follows from the languages' counts, a row each; a filter applies
+    it before anything is sorted or gathered.
     """
     known = docs.filter(usable & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("rows")).limit(most_langs + 1).collect()
-    if len(counts) > most_langs:
-        raise ValueError(f"more than {most_langs} languages")
-    rows = F.lit(None).cast("long")
-    for r in counts:
-        rows = F.when(F.col("lang") == r["lang"], F.lit(r["rows"])).otherwise(rows)
+    counts = materialize(known.groupBy("lang").agg(F.count("*").alias("rows")), "language-counts")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    few = known.select("lang", "text", place.alias("key"), rows.alias("rows")).filter(F.col("key").cast("double") * F.col("rows") < F.lit(float(4 * sample_docs << 30)))
-    few = few.select("lang", F.substring("text", 1, sample_chars).alias("text"), "key", "rows")
+    few = known.select("lang", "text", place.alias("key")).join(counts, "lang").filter(F.col("key").cast("double") * F.col("rows") < F.lit(float(4 * sample_docs << 30)))
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
-    return few.withColumn("nth", nth).filter(F.col("nth") <= sample_docs).drop("nth")
+    few = few.withColumn("nth", nth).filter(F.col("nth") <= sample_docs)
+    cut = F.regexp_extract_all("text", F.lit(rf"(?s)(.{{1,{piece_chars}}})"), F.lit(1))
+    each = few.select("lang", "rows", "nth", F.posexplode(cut).alias("at", "text"))
+    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("nth", "at"), "text"))
+    return each.select("lang", "text", "rows", order.alias("nth")).filter(F.col("nth") <= pieces)
 
 
 def normal(text: str) -> str:
@@ -50,13 +55,13 @@ def normal(text: str) -> str:
     return NOT_LETTERS.sub(" ", text.lower())
 
 
-def fit(docs: DataFrame, usable: Column, sample_docs: int = 96, sample_chars: int = 1_500, dict_bytes: int = 112_000) -> dict[str, bytes]:
+def fit(docs: DataFrame, usable: Column, sample_docs: int = 192, pieces: int = 448, piece_chars: int = 256) -> dict[str, bytes]:
     """Dictionary content by language, the most frequent language first. What comes to the driver is
     the bounded sample."""
     texts: dict[tuple, list[tuple]] = {}
-    for r in sample(docs, usable, sample_docs, sample_chars).collect():
-        texts.setdefault((-r["rows"], r["lang"]), []).append((r["key"], r["text"]))
-    return {lang: " ".join(normal(t) for _, t in sorted(rows)).encode("utf-8", "replace")[:dict_bytes] for (_, lang), rows in sorted(texts.items())}
+    for r in sample(docs, usable, sample_docs, pieces, piece_chars).collect():
+        texts.setdefault((-r["rows"], r["lang"]), []).append((r["nth"], r["text"]))
+    return {lang: " ".join(normal(t) for _, t in sorted(rows)).encode("utf-8", "replace") for (_, lang), rows in sorted(texts.items())}
 
 
 class Classifier:
