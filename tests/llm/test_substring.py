@@ -57,11 +57,67 @@ def test_driver_documents_match_brute_force(spark):
     assert run(spark.read.parquet(path), 35) == brute(rows, 35)
 
 
-def test_spans_are_compacted(spark):
-    passage = " ".join(f"p{i}" for i in range(200))
-    df = spark.createDataFrame([(1, f"x y {passage}"), (2, f"{passage} z")], "doc_id long, text string")
+def kinds_of(spark, *chains):
+    """Kinds of texts given as lists of runs; a run is a letter, of two windows."""
+    from collections import defaultdict
+
+    prev, nxt, n = defaultdict(list), defaultdict(list), Counter()
+    for c in chains:
+        for i, x in enumerate(c):
+            n[x] += 1
+            prev[x].append(ord(c[i - 1]) if i else 0)
+            nxt[x].append(ord(c[i + 1]) if i + 1 < len(c) else 0)
+    rows = [(ord(x), n[x], 2, min(prev[x]), max(prev[x]), min(nxt[x]), max(nxt[x])) for x in n]
+    return spark.createDataFrame(rows, "content long, copies long, n int, prev_lo long, prev_hi long, next_lo long, next_hi long")
+
+
+@pytest.mark.parametrize(
+    ("chains", "want"),
+    [
+        (("abcdefgh", "abcdefgh"), {"a": 8}),  # one path
+        (("xabcd", "yabcd"), {"a": 4}),  # branches before it
+        (("abcd", "abef"), {"a": 2}),  # a branch after b; the others are single
+        (("abcd", "bcd", "abcd"), {"a": 1, "b": 3}),  # a text begins inside
+        (("abcd", "ab"), {"a": 2}),  # a text ends inside
+        (("aaaa", "aaaa"), {"a": 1}),  # a loop
+        (("abab", "abab"), {"a": 2}),  # b always follows a, but a doesn't always follow b
+        (("abc", "dbe", "abc", "dbe"), {"a": 1, "b": 1, "c": 1, "d": 1, "e": 1}),  # in and out degree two
+    ],
+)
+def test_paths_end_at_branches(spark, chains, want):
+    paths, members = substring.paths_of(kinds_of(spark, *chains))
+    assert {chr(r.content): (r.runs, r.n) for r in paths.collect()} == {k: (v, 2 * v) for k, v in want.items()}
+    assert members.count() == sum(want.values())
+
+
+def test_long_paths_and_rings_settle(spark):
+    links = spark.range(1, 700).selectExpr("id AS content", "id - 1 AS up", "1 AS n").union(spark.createDataFrame([(9001, 9002, 1), (9002, 9003, 1), (9003, 9001, 1)], "content long, up long, n int"))
+    got = {r.content: r.head for r in substring.compacted(links).collect()}
+    assert all(got[i] == 0 for i in range(1, 700)) and all(got[i] == i for i in (9001, 9002, 9003))
+
+
+def test_passages_travel_as_paths_not_as_runs(spark):
+    passage = " ".join(f"p{i}" for i in range(400))
+    df = spark.createDataFrame([(1, f"x y {passage}"), (2, f"{passage} z"), (3, f"{passage} q")], "doc_id long, text string")
     runs = substring.document_runs(df, 35, 8)
     rows = substring.repeated_spans(df, runs, 35).collect()
-    paths = [[s for s in substring.compact([x.asDict() for x in r.spans]) if s[2] is not None] for r in rows]
-    assert len(rows) == 2 and all(len(p) == 1 for p in paths)
-    assert paths[0][0][2] == paths[1][0][2]
+    paths = {r.doc_id: [s for s in r.spans if s["path"] is not None] for r in rows}
+    per_document = min(len(r.runs) for r in runs.collect())
+    # texts end and begin differently, so a passage is a few paths, not one for each of its many runs
+    assert len(rows) == 3 and all(1 <= len(p) <= 3 for p in paths.values()) and per_document > 12
+    assert all(sum(s["n"] for s in p) > 250 for p in paths.values())
+    assert run(df, 35) == brute([tuple(r) for r in df.collect()], 35)
+
+
+@pytest.mark.parametrize("bits", [3, 9])
+def test_words_decide_where_hashes_collide(spark, bits):
+    rng = random.Random(bits)
+    passages = [[f"w{rng.randrange(90)}" for _ in range(rng.randrange(30, 120))] for _ in range(6)]
+    rows = [(i, " ".join(f"u{rng.randrange(500)}" for _ in range(20)) + " " + " ".join(rng.choice(passages)[rng.randrange(6) :])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = substring.document_runs(df, 20, 6)
+    mask = (1 << bits) - 1
+    few = runs.withColumn("runs", substring.F.transform("runs", lambda r: substring.F.struct(r["start"].alias("start"), r["n"].alias("n"), r["anchor"].alias("anchor"), r["content"].bitwiseAND(mask).alias("content"))))
+    spans = {r.doc_id: [s.asDict() for s in r.spans] for r in substring.repeated_spans(df, few, 20).collect()}
+    got = sorted((i, *substring.cut(t, spans.get(i, []), 20)[:2]) for i, t in rows)
+    assert got == [x[:3] for x in brute(rows, 20)]
