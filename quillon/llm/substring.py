@@ -208,7 +208,7 @@ def repeated_spans(docs: DataFrame, runs: DataFrame, width: int) -> DataFrame:
     again = lambda df: df.join(materialize(df.groupBy("anchor", "digest").agg(F.count("*").alias("c")).filter("c > 1"), "substring-again"), ["anchor", "digest"], "left_semi")
     edge = again(seen.filter("path IS NULL")).filter("NOT known").select("doc_id", "text_key", "start", "n", "path")
     out = sure.union(edge)
-    differ = forms.groupBy("path").agg(F.count("*").alias("forms")).filter("forms > 1").select(F.col("path").alias("head"))
+    differ = forms.groupBy("path").agg(F.count("*").alias("forms"), F.min("n").alias("least")).filter("forms > 1 OR least = 0").select(F.col("path").alias("head"))
     differ = differ.union(members.join(kinds.filter("copies > 1 AND n < n_hi").select("content"), "content", "left_semi").select("head")).distinct()
     if differ.limit(1).count():
         doubtful = found.join(members.join(differ, "head", "left_semi").select("content"), "content", "left_semi").select("anchor").distinct()
