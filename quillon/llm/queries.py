@@ -105,6 +105,20 @@ SELECT c.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT)
 FROM c JOIN v ON c.source IS NOT DISTINCT FROM v.source
 """
 
+OP3 = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+                  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT rid, doc_id, CASE WHEN length(w) = 0 THEN [] WHEN length(w) < 4 THEN [array_to_string(w, ' ')]
+             ELSE list_distinct(list_transform(range(1, length(w) - 2), lambda i: array_to_string(list_slice(w, i, i + 3), ' '))) END AS shingles FROM d),
+x AS (SELECT rid, length(shingles) AS n, unnest(shingles) AS shingle FROM s),
+pairs AS (SELECT a.rid AS a, b.rid AS b, a.n + b.n AS n, count(*) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY ALL),
+links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (n - shared)),
+both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(rid, r) AS (SELECT rid, rid FROM s UNION SELECT reach.rid, both.b FROM reach JOIN both ON both.a = reach.r),
+least AS (SELECT reach.rid, min(s.doc_id) AS component_id FROM reach JOIN s ON s.rid = reach.r GROUP BY reach.rid)
+SELECT s.doc_id, CAST(length(shingles) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least ON least.rid = s.rid
+"""
+
 OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id,
                   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
@@ -126,6 +140,18 @@ SELECT d.doc_id, CAST(length(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0)
 FROM d LEFT JOIN hits ON hits.rid = d.rid LEFT JOIN its ON its.rid = d.rid
 """
 
+OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT rid, w, unnest(range(1, length(w) - 33)) AS s FROM d WHERE length(w) >= 35),
+x AS (SELECT rid, s, array_to_string(list_slice(w, s, s + 34), ' ') AS said FROM p),
+r AS (SELECT rid, s FROM (SELECT rid, s, count(*) OVER (PARTITION BY said) AS n FROM x) WHERE n > 1),
+g AS (SELECT DISTINCT rid, unnest(range(s, s + 35)) AS i FROM r),
+words AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d),
+k AS (SELECT words.rid, string_agg(word, ' ' ORDER BY words.i) AS kept, count(*) AS n FROM words LEFT JOIN g ON g.rid = words.rid AND g.i = words.i WHERE g.i IS NULL GROUP BY words.rid)
+SELECT d.doc_id, CAST(length(w) AS BIGINT) AS n_words, CAST(length(w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.rid = d.rid
+"""
+
 OP7 = r"""
 WITH a AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 b AS (SELECT page_id, coalesce(url, '') AS url, regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1) AS raw, coalesce(rest, '') AS rest FROM a),
@@ -147,4 +173,4 @@ FROM c LEFT JOIN f ON f.page_id = c.page_id LEFT JOIN t ON t.page_id = c.page_id
 def oracle_sql() -> dict[str, str]:
     terms = [*((t, "NULL") for t in urls.STRICT), *((t, w) for t, w in urls.SOFT.items())]
     op7 = OP7.replace("{terms}", ", ".join(f"('{t}', CAST({w} AS DOUBLE))" for t, w in terms))
-    return {"op1_mixing": OP1, "op2_quality": OP2, "op5_decontam": OP5, "op7_urls": op7}
+    return {"op1_mixing": OP1, "op2_quality": OP2, "op3_near_dup": OP3, "op5_decontam": OP5, "op6_substring": OP6, "op7_urls": op7}

@@ -67,3 +67,13 @@ def test_keep_clean_drops_no_clean_row_of_the_same_id(spark):
     docs = spark.createDataFrame([(None, "x a b c y"), (None, "other"), (2, "a b c"), (2, "fine"), (None, None)], "doc_id long, text string")
     items = spark.createDataFrame([(1, "A b C")], "item_id long, text string")
     assert sorted(map(tuple, decontam.keep_clean(docs, items).collect()), key=repr) == [(2, "fine"), (None, "other"), (None, None)]
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    long = " ".join(f"w{i % 997}" for i in range(9000))
+    rows = [(1, f"{long} {item} {long}"), (1, f"{long} {item} {long}"), (1, long), (2, item[:-1])]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
+    for b in (32 << 20, 0):
+        got = sorted(map(tuple, decontam.decontaminate(docs, items, width=10, broadcast_bytes=b).collect()))
+        assert got == sorted(brute(rows, [(7, item)], 10))

@@ -62,3 +62,69 @@ def test_edges(spark, trees):
     assert [got[k].text for k in (1, 2, None)] == ["", "", ""] and got[4].text == "open words and more of them"
     assert got[5].n_chars == 20_000 * len("word after word, again. ") - 1
     assert h.main_text(spark.createDataFrame([], "page_id long, url string, html string"), trees).collect() == []
+
+
+def article(inner: str, before: str = "", after: str = "") -> str:
+    plain = "".join(f"<p>This is sentence {i} of the article, and it says a little more than the last one did.</p>" for i in range(4))
+    return f"<html><body>{before}<article><h1>A title of words</h1>{plain}{inner}</article>{after}</body></html>"
+
+
+PLAIN = "A title of words " + " ".join(f"This is sentence {i} of the article, and it says a little more than the last one did." for i in range(4))
+
+
+def test_formulas_and_drawn_text_stay(trees):
+    inner = "<p>The area is <math><mi>a</mi><mo>=</mo><mi>b</mi><annotation encoding='application/x-tex'>a=b</annotation></math> and no more.</p>"
+    assert h.extract([article(inner)], trees) == [f"{PLAIN} The area is a=b and no more."]
+
+
+def test_named_inline_elements_are_judged_by_themselves(trees):
+    inner = "<p>The text goes on here, as it did before. <span class='ad'>Buy cheap stuff now</span> And here it ends, after all that.</p>"
+    assert h.extract([article(inner)], trees) == [f"{PLAIN} The text goes on here, as it did before. And here it ends, after all that."]
+    inner = "<p>The <em class='kw-7'>text</em> goes on <span id='x1'>here</span>, as it did before.</p>"
+    assert h.extract([article(inner)], trees) == [f"{PLAIN} The text goes on here, as it did before."]
+
+
+def test_loose_text_around_the_article_goes(trees):
+    page = article("", "<a href='/'>Home</a> <a href='/login'>Log in</a> <a href='/c'>Contact</a>", "Buy now")
+    assert h.extract([page], trees) == [PLAIN]
+
+
+def test_inline_elements_close_in_their_block_only():
+    nodes, pieces = h.parse("<div><span class=a>one<p>two</span> three</p></div>four</span>")
+    of = {t.strip(): nodes[n].tag for n, _, t in pieces}
+    assert of == {"one": "~span", "two": "p", "three": "p", "four": "#"}
+
+
+@pytest.mark.parametrize(
+    "piece", ["<a ", "<a <b ", "</p>", "<div>", "<!", "<script>", "</script ", "<script></script ", "<a \"", "<a '\"", "&#", "&amp", "<li>", "<p class=", "<span class=a>", "</span>", "<!-- ", "<td>", "<a href=x"]
+)
+def test_hostile_pages_take_linear_time(piece):
+    import time
+
+    def took(n):
+        start = time.perf_counter()
+        h.parse("<div>" * 3000 + piece * (n // len(piece)))
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(1_000_000) < 12
+
+
+def test_deep_nesting_with_stray_tags_is_linear():
+    import time
+
+    start = time.perf_counter()
+    h.parse("<li><ul>" + "<div>" * 30_000 + "<li></li></p></b>" * 30_000)
+    h.parse("<b class=x><div>" + "<span class=y>" * 30_000 + "</b>" * 30_000)
+    assert time.perf_counter() - start < 10
+
+
+def test_character_references_of_any_length(trees):
+    assert h.unescaped("&#65;&#0000000000065;&#x41;&amp;&nope;") == "AAA&&nope;"
+    assert h.unescaped("&#" + "9" * 10_000 + ";") == "\ufffd"
+
+
+def test_clashing_columns(spark, trees):
+    df = spark.createDataFrame([(1, "u", "<article><p>Words of it, and more of them here.</p></article>", "x", 7)], "page_id long, url string, html string, text string, n_chars int")
+    out = h.main_text(df, trees)
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and out.first().text == "Words of it, and more of them here."

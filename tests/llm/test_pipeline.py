@@ -59,3 +59,24 @@ def test_stages_take_odd_documents(spark):
             assert out.columns == df.columns + ["taken"] * (i == 4)
             df = out
         assert {r.doc_id for r in df.collect()} <= {1}
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """The first three stages and the last one keep what is another text, and one of what is the same."""
+    base = [f"w{i}" for i in range(80)]
+    near = " ".join([*base[:-1], "end"])
+    other = " ".join(f"v{i}" for i in range(70))
+    leak = pq.read_table(f"{SF}/benchmark.parquet").column("text").to_pylist()[0]
+    dirty = other.upper() + " " + leak
+    rows = [(1, " ".join(base), "a"), (5, other, "a"), (5, near, "b"), (None, near, "a"), (None, "u " + other[:-3], "a"), (5, other, "a"), (7, dirty, "b")]
+    rows += [(9, " ".join(f"t{i}" for i in range(90)), s) for s in ("a", "b")]
+    df = spark.createDataFrame([(i, t, "en", s, len(t), 99) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long, taken int")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        df = corpus_pipeline.materialize(stage(spark, df, SF), name.replace(" ", "-"))
+    kept = sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    assert (1, " ".join(base)) in kept and (5, other) in kept and (7, dirty) not in kept
+    assert sum(t == near for _, t in kept) == 0 and [t for _, t in kept].count(other) == 1 and sum(i == 9 for i, _ in kept) == 1
+    for _, stage in corpus_pipeline.STAGES[3:]:
+        df = stage(spark, df, SF)
+    assert df.columns == ["doc_id", "text", "lang", "source", "n_chars", "taken"]
+    assert all(0 < r.taken <= 3 * len(r.text.split()) for r in df.collect())
