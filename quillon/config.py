@@ -33,6 +33,10 @@ class Settings:
     max_stale_share: float = 0.05
 
 
+#: What operators and jobs take where nothing else is said.
+DEFAULT = Settings()
+
+
 def _cast(kind: str, value: str):
     return {"int": int, "float": float, "bool": lambda v: v.strip().lower() == "true", "str": str}[kind](value)
 

@@ -44,7 +44,6 @@ TRIGGERS = (
 RELATIONS = ("AMENDS", "SUPERSEDES", "CONFLICTS_WITH")
 
 # fixed values: definitions
-DEFINED_AS = "được hiểu là"
 LIST_TRIGGER = "được hiểu như sau|giải thích từ ngữ"
 
 # fixed values: labels of the metadata page
@@ -87,4 +86,40 @@ NO_CONTEXT = "(không có ngữ cảnh)"
 OUTSIDE_MARK = " [ngoài corpus]"
 NOT_FOUND_ANSWER = "Chưa tìm thấy quy định cụ thể trong dữ liệu"
 WARNING_BEFORE = "\n\n⚠️ **Cảnh báo**: Câu trả lời viện dẫn văn bản KHÔNG có trong dữ liệu đang cung cấp ("
-WARNING_AFTER = "). Vui lòng kiểm chứng lại với nguồn chính thức trước khi áp dụng."
+WARNING_AFTER = "). Vui lòng kiểm chứng lại với nguồn chính thức tại vbpl.vn trước khi áp dụng."
+
+# fixed values: dates and numbers in texts; Java patterns, as all below
+LONG_DATE = r"(?iu)ng[àa]y(?U)\s+(\d{1,2})\s+th[áa]ng\s+(\d{1,2})\s+n[ăa]m\s+(\d{4})"
+SLASH_DATE = r"(\d{1,2})/(\d{1,2})/(\d{4})"
+EFFECT = r"(?iu)hi[ệe]u(?U)\s+l[ựu]c"
+SO_HIEU = r"[Ss][ốôo](?U)\s+(\d+)/(\d{4})/((?-U)[A-Za-zĐđ0-9\-]+)"
+SO_HIEU_ALONE = r"^\d+/\d{4}/[A-Za-z0-9Đđ-]+$"
+
+# fixed values: what a search hit says of a document
+HIT_STATUS = r"(?Ud)Trạng thái:\s*(.+?)\s*Ngày ban hành:"
+HIT_ISSUED = r"(?U)Ngày ban hành:\s*(\d{2}/\d{2}/\d{4})"
+HIT_EFFECTIVE = r"(?U)Ngày hiệu lực:\s*(\d{2}/\d{2}/\d{4})"
+
+# fixed values: citations
+_KIND = "|".join(KINDS)
+_NUMBERED = rf"(?:{_KIND})(?:\s+[^\d,.;]{{1,80}}?)?\s*(?:số\s+)?(\d+)\s*/\s*(\d{{4}})\s*/\s*([\w\-]+)"
+_NAMED = rf"(?:{_KIND})\s+[^\d,.;]+?\d{{4}}"
+#: Groups: whole, article number, document name, its number, year and code.
+CITATION = rf"(?U)((?:khoản\s+\d+\s+)?Điều\s+(\d+)(?:\s+(?:của\s+)?({_NUMBERED}|{_NAMED}))?)"
+SO_HIEU_CITED = r"(?U)\b((?-U)[0-9]{1,4})/([0-9]{4})/([A-Za-zĐđ][A-Za-zĐđ0-9\-]*)(?U)\b"
+ARTICLE_CITED = r"(?U)\b([0-9]{1,4}-[0-9]{4}-[a-zđ0-9\-]+_dieu-[0-9]+)\b"
+
+# fixed values: sentences and definitions
+SENTENCE_END = r"(?U)(?<=[.;])\s+|\n+"
+QUOTED = r'(?U)[“"]([^”"]+)[”"]\s*được hiểu là\s+((?d).+?)(?=[.;\n]| và [^.;\n]*?được hiểu là|$)'
+ITEM = r"(?s)(?:^|\n)[ \t]*(?U)\d{1,3}\.[ \t]+(.+?)(?=\n[ \t]*\d{1,3}\.[ \t]|\z)"
+
+# fixed values: what answers say; forms in which they name their choice, in order, of which the first that matches decides
+SAYS_WRONG = r"(?U)\bsai\b|\bkhông đúng\b"
+SAYS_RIGHT = r"(?U)\bđúng\b"
+CHOICES = (
+    r"(?U)^\s*([ABCD])\s*[\)\.:\-]",
+    r"(?U)(?:ĐÁP\s*ÁN|CHỌN|CÂU\s*TR[ẢA]\s*L[ỜO]I)(?:\s+\S+){0,3}?\s*(?:LÀ|:)\s*([ABCD])\b",
+    r"(?U)^\s*([ABCD])\s*$",
+    r"(?U)^\s*([ABCD])\b",
+)

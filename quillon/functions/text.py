@@ -19,6 +19,32 @@ def _base_letters() -> tuple[str, str]:
 MARKED, BARE = _base_letters()
 
 
+def _compositions() -> tuple[list[str], list[str]]:
+    """Sequences of a Vietnamese vowel and marks, in any order and partly composed, beside their single letters; longer ones first."""
+    modifiers, tones = ("", "\u0302", "\u0306", "\u031b"), ("", "\u0300", "\u0301", "\u0303", "\u0309", "\u0323")
+    out = {}
+    for v in "aeiouyAEIOUY":
+        for m in modifiers:
+            for t in tones:
+                whole = unicodedata.normalize("NFC", v + m + t)
+                if len(whole) == 1 and m + t:
+                    for parts in ((v, m, t), (v, t, m), (unicodedata.normalize("NFC", v + m), t), (unicodedata.normalize("NFC", v + t), m)):
+                        if (said := "".join(parts)) != whole:
+                            out[said] = whole
+    pairs = sorted(out.items(), key=lambda kv: (-len(kv[0]), kv[0]))
+    return [k for k, _ in pairs], [v for _, v in pairs]
+
+
+SPLIT_LETTERS, WHOLE_LETTERS = _compositions()
+
+
+def composed(c: Column) -> Column:
+    """Vietnamese letters as single characters, however they were put together."""
+    split, whole = (F.split(F.lit(" ".join(x)), " ") for x in (SPLIT_LETTERS, WHOLE_LETTERS))
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(len(SPLIT_LETTERS) - 1)), c, lambda acc, i: F.replace(acc, F.get(split, i), F.get(whole, i)))
+    return F.when(c.rlike(r"\p{Mn}"), steps).otherwise(c)
+
+
 def fix_eth(c: Column) -> Column:
     """The Icelandic eth that crawls put for the Vietnamese d with stroke."""
     return F.translate(c, "ðÐ", "đĐ")
@@ -140,14 +166,10 @@ def preview(text: Column) -> Column:
     return F.left(text, F.lit(fixed.PREVIEW_CHARS))
 
 
-LONG_DATE = r"(?iu)ng[àa]y(?U)\s+(\d{1,2})\s+th[áa]ng\s+(\d{1,2})\s+n[ăa]m\s+(\d{4})"
-SLASH_DATE = r"(\d{1,2})/(\d{1,2})/(\d{4})"
-
-
 def iso_date(text: Column) -> Column:
     """The first "ngày D tháng M năm Y", else the first D/M/Y, as YYYY-MM-DD; no check of the calendar."""
     out = F.lit(None).cast("string")
-    for pattern in (SLASH_DATE, LONG_DATE):
+    for pattern in (fixed.SLASH_DATE, fixed.LONG_DATE):
         day, month, year = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
         two = lambda x: F.lpad(x, 2, "0")
         out = F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day))).otherwise(out)
@@ -163,12 +185,9 @@ def labelled_date(text: Column, label: str, labels: tuple[str, ...] = fixed.LABE
     return F.when(at > 0, iso_date(F.substring(text, start, end - start)))
 
 
-EFFECT = r"(?iu)hi[ệe]u(?U)\s+l[ựu]c"
-
-
 def effective_date(body: Column, sidecar: Column) -> Column:
     """The labelled date of the metadata page, else the date in the window after the first "hiệu lực" of the text."""
-    after = F.regexp_extract(body, rf"(?s){EFFECT}(.{{0,{fixed.LABEL_WINDOW}}})", 1)
+    after = F.regexp_extract(body, rf"(?s){fixed.EFFECT}(.{{0,{fixed.LABEL_WINDOW}}})", 1)
     return F.coalesce(labelled_date(sidecar, fixed.EFFECTIVE_LABEL), iso_date(after))
 
 
@@ -176,12 +195,9 @@ def expiry_date(sidecar: Column) -> Column:
     return labelled_date(sidecar, fixed.EXPIRY_LABEL)
 
 
-SO_HIEU = r"[Ss][ốôo](?U)\s+(\d+)/(\d{4})/((?-U)[A-Za-zĐđ0-9\-]+)"
-
-
 def so_hieu_parts(body: Column, sidecar: Column) -> Column:
     """struct(so, nam, ma_hieu) from the metadata page, else from the text; empty strings if there is none."""
-    part = lambda i: F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(t, F.lit("")), SO_HIEU, i), F.lit("")) for t in (sidecar, body)], F.lit(""))
+    part = lambda i: F.coalesce(*[F.nullif(F.regexp_extract(F.coalesce(t, F.lit("")), fixed.SO_HIEU, i), F.lit("")) for t in (sidecar, body)], F.lit(""))
     return F.struct(part(1).alias("so"), part(2).alias("nam"), part(3).alias("ma_hieu"))
 
 
@@ -190,7 +206,7 @@ def override(given: Column, parsed: Column) -> Column:
 
 
 def looks_like_so_hieu(keyword: Column) -> Column:
-    return strip(keyword).rlike(r"^\d+/\d{4}/[A-Za-z0-9Đđ-]+$")
+    return strip(keyword).rlike(fixed.SO_HIEU_ALONE)
 
 
 def status(live: Column) -> Column:
@@ -207,8 +223,8 @@ def names_so_hieu(title: Column, so_hieu: Column) -> Column:
 
 
 def answer_form(answer: Column) -> Column:
-    """An answer for comparison: trimmed, lower case, numbers without leading zeros. Input in composed form."""
-    return F.regexp_replace(F.lower(strip(answer)), r"(?U)\b0+(\d)", "$1")
+    """An answer for comparison: letters composed, trimmed, lower case, numbers without leading zeros."""
+    return F.regexp_replace(F.lower(strip(composed(answer))), r"(?U)\b0+(\d)", "$1")
 
 
 RELATION_FIELDS = "relationship_type string, confidence string, ly_do string"
@@ -259,9 +275,8 @@ def url_slug(url: Column) -> Column:
 def hit_metadata(item: Column) -> Column:
     """struct(trang_thai, ngay_ban_hanh, ngay_hieu_luc) of a search hit's text, null where absent."""
     get = lambda p: F.nullif(F.regexp_extract(item, p, 1), F.lit(""))
-    day = r"(\d{2}/\d{2}/\d{4})"
     return F.struct(
-        strip(get(r"(?Ud)Trạng thái:\s*(.+?)\s*Ngày ban hành:")).alias("trang_thai"),
-        get(rf"(?U)Ngày ban hành:\s*{day}").alias("ngay_ban_hanh"),
-        get(rf"(?U)Ngày hiệu lực:\s*{day}").alias("ngay_hieu_luc"),
+        strip(get(fixed.HIT_STATUS)).alias("trang_thai"),
+        get(fixed.HIT_ISSUED).alias("ngay_ban_hanh"),
+        get(fixed.HIT_EFFECTIVE).alias("ngay_hieu_luc"),
     )

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.config import DEFAULT, Settings
 from quillon.functions import fixed, text
+from quillon.operators import graph as g
+from quillon.operators import retrieve
+from quillon.scratch import materialize
 
 
 def rank_metrics(questions: DataFrame, ranked: DataFrame, ks: tuple[int, ...] = (5, 10)) -> DataFrame:
@@ -18,16 +24,22 @@ def rank_metrics(questions: DataFrame, ranked: DataFrame, ks: tuple[int, ...] =
 
 
 def summary(metrics: DataFrame, *by: str) -> DataFrame:
-    """n, mean of each hit and of rr, ids without a hit in the widest; null means of nothing."""
+    """n, mean of each hit and of rr; null means of nothing."""
     hits = [c for c in metrics.columns if c.startswith("hit")]
     return metrics.groupBy(*by).agg(
-        F.count("*").alias("n"), *[F.avg(F.col(h).cast("int")).alias(h.replace("hit", "recall")) for h in hits], F.avg("rr").alias("mrr"), F.array_sort(F.collect_list(F.when(~F.col(hits[-1]), F.col("query_id")))).alias("misses")
+        F.count("*").alias("n"), *[F.avg(F.col(h).cast("int")).alias(h.replace("hit", "recall")) for h in hits], F.avg("rr").alias("mrr")
     )
 
 
+def misses(metrics: DataFrame) -> DataFrame:
+    """The ids without a hit in the widest."""
+    return metrics.filter(~F.col([c for c in metrics.columns if c.startswith("hit")][-1])).select("query_id")
+
+
 def question_set(*sets: DataFrame) -> DataFrame:
-    """Sets of (question, gold) in order as one: questions with a gold, the first of each text: query_id, question, gold."""
-    parts = [s.select(F.lit(i).alias("of"), F.monotonically_increasing_id().alias("at"), "question", "gold") for i, s in enumerate(sets)]
+    """Sets of (at, question, gold) in order, at a question's place in its file, as one: questions with a gold, the first
+    of each text: query_id, question, gold."""
+    parts = [s.select(F.lit(i).alias("of"), "at", "question", "gold") for i, s in enumerate(sets)]
     every = parts[0]
     for p in parts[1:]:
         every = every.union(p)
@@ -46,29 +58,20 @@ def ablation(questions: DataFrame, runs: dict[str, DataFrame]) -> DataFrame:
         m = rank_metrics(questions, ranked).join(questions.select("query_id", (F.size("gold") >= 2).alias("multi")), "query_id").withColumn("config", F.lit(name))
         out = m if out is None else out.union(m)
     subsets = F.when(F.col("multi"), F.array(F.lit("all"), F.lit("multi_hop"))).otherwise(F.array(F.lit("all")))
-    return summary(out.withColumn("subset", F.explode(subsets)).drop("multi"), "config", "subset").drop("misses")
+    return summary(out.withColumn("subset", F.explode(subsets)).drop("multi"), "config", "subset")
 
 
 def score_true_false(answer: Column, gold: Column) -> Column:
     """A denial beats an affirmation; an answer with neither is wrong."""
     a = text.answer_form(answer)
-    no = a.rlike(r"(?U)\bsai\b|\bkhông đúng\b")
-    said = F.when(no, "sai").when(a.rlike(r"(?U)\bđúng\b"), "đúng").otherwise("?")
+    no = a.rlike(fixed.SAYS_WRONG)
+    said = F.when(no, "sai").when(a.rlike(fixed.SAYS_RIGHT), "đúng").otherwise("?")
     return said == text.answer_form(gold)
 
 
-#: Forms in which answers name their choice, in order; the first that matches decides.
-CHOICES = (
-    r"(?U)^\s*([ABCD])\s*[\)\.:\-]",
-    r"(?U)(?:ĐÁP\s*ÁN|CHỌN|CÂU\s*TR[ẢA]\s*L[ỜO]I)(?:\s+\S+){0,3}?\s*(?:LÀ|:)\s*([ABCD])\b",
-    r"(?U)^\s*([ABCD])\s*$",
-    r"(?U)^\s*([ABCD])\b",
-)
-
-
 def choice(answer: Column) -> Column:
-    up = F.upper(text.strip(answer))
-    return F.coalesce(*[F.nullif(F.regexp_extract(up, p, 1), F.lit("")) for p in CHOICES])
+    up = F.upper(text.strip(text.composed(answer)))
+    return F.coalesce(*[F.nullif(F.regexp_extract(up, p, 1), F.lit("")) for p in fixed.CHOICES])
 
 
 def score_choice(answer: Column, gold: Column) -> Column:
@@ -104,3 +107,35 @@ def accuracy(scored: DataFrame) -> DataFrame:
     """By type and in all (type null): type, n, n_correct, accuracy, retrieval_hit of those in scope, shown."""
     out = scored.rollup("type").agg(F.count("*").alias("n"), F.count_if("correct").alias("n_correct"), F.avg(F.col("correct").cast("int")).alias("accuracy"), F.avg(F.col("retrieved").cast("int")).alias("retrieval_hit"))
     return out.withColumn("shown", text.share(F.col("n_correct"), F.col("n")))
+
+
+# runs over an eval set
+def run_retrieval(questions: DataFrame, vectors: DataFrame, graph: g.Graph, texts: DataFrame, **params) -> DataFrame:
+    """questions (query_id, question, embedding, gold) through the retrieval: rank_metrics of what it ranks."""
+    return rank_metrics(questions, retrieve.retrieve(questions, vectors, graph, texts, **params)["ranked"])
+
+
+def run_ablation(questions: DataFrame, vectors: DataFrame, graph: g.Graph, texts: DataFrame, scorer: Callable[[], retrieve.Scorer], settings: Settings = DEFAULT) -> DataFrame:
+    """dense (entries alone), dense_graph (with what they cite) and dense_graph_rerank (a wider pool, reranked) on the same
+    entries, over all and multi-hop questions: config, subset, n, recalls, mrr."""
+    k, wide = settings.max_context_articles, settings.rerank_fetch_k
+    hits = retrieve.nearest(questions, vectors, wide * settings.overfetch)
+    entries = materialize(retrieve.entry_points(hits, settings.similarity_threshold, wide), "ablation-entries")
+    edges = retrieve.traverse(entries, graph, settings.max_hop)["edges"]
+    pool = materialize(retrieve.rank(entries, edges, max(k, wide)), "ablation-pool")
+    runs = {
+        "dense": entries.filter(F.col("pos") <= k),
+        "dense_graph": pool.filter(F.col("pos") <= k),
+        "dense_graph_rerank": retrieve.rerank(pool.filter(F.col("pos") <= wide), questions, texts, scorer, k),
+    }
+    return ablation(questions, runs)
+
+
+def run_qa(questions: DataFrame, vectors: DataFrame, graph: g.Graph, texts: DataFrame, generator: Callable[[], retrieve.Generator], rules: str = retrieve.RULES, **params) -> DataFrame:
+    """questions (query_id, question, embedding, type, answer, key_facts, gold) retrieved, put to the model and scored: their
+    columns, answer_said, ranked, correct, retrieved. accuracy() sums it up."""
+    r = retrieve.retrieve(questions, vectors, graph, texts, **params)
+    said = retrieve.generate(retrieve.prompts(questions, r["context"], rules), generator, out="answer_said").select("query_id", "answer_said")
+    ranked = r["ranked"].groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "article_id"))), lambda x: x["article_id"]).alias("ranked"))
+    asked = questions.join(materialize(said, "qa-answers"), "query_id").join(ranked, "query_id", "left")
+    return score(asked.withColumn("ranked", F.coalesce("ranked", F.array().cast("array<string>"))))

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 from quillon.functions import fixed, text
 
@@ -41,18 +42,55 @@ def check_unique(graph: Graph) -> DataFrame:
     return out[0].union(out[1])
 
 
+def run(graph: Graph, sql: str, **params) -> DataFrame:
+    """A query over the graph's tables, named in braces, with named parameters: run(graph, "SELECT * FROM {article} WHERE
+    so_dieu = :n", n=3). Parameters are values, never parts of the text."""
+    spark = next(iter(graph.values())).sparkSession
+    return spark.sql(sql, args=params, **{name: df for name, df in graph.items() if f"{{{name}}}" in sql})
+
+
+def _order(present: bool, seq: Column | None, kind: DataType) -> Column:
+    """Old rows come before all new ones, which are in the order of seq."""
+    return F.struct(F.lit(not present).alias("new"), (F.lit(None) if seq is None else seq).cast(kind).alias("seq"))
+
+
 def merge(old: DataFrame, new: DataFrame, key: Sequence[str], first: Sequence[str] = (), last: Sequence[str] = ()) -> DataFrame:
-    """old with new (with seq) merged in by key. Columns in first keep what was written first, those in
-    last take what is written last, null included; columns of neither keep the old value."""
+    """old with new (with seq, of any type that has an order) merged in by key. Columns in first keep what was
+    written first, those in last take what is written last, null included; columns of neither keep the old value."""
     cols = [c for c in old.columns if c not in key]
-    both = old.withColumn("seq", F.lit(-1).cast("long")).unionByName(new.select(*[c for c in new.columns if c in old.columns], F.col("seq").cast("long")), allowMissingColumns=True)
+    kind = new.schema["seq"].dataType
+    before = old.withColumn("seq", _order(True, None, kind))
+    both = before.unionByName(new.select(*[c for c in new.columns if c in old.columns], _order(False, F.col("seq"), kind).alias("seq")), allowMissingColumns=True)
     pick = {**dict.fromkeys(first, F.min_by), **dict.fromkeys(last, F.max_by)}
-    old_only = lambda c: F.min_by(F.struct(F.when(F.col("seq") < 0, F.col(c)).alias("v")), "seq")["v"].alias(c)
+    old_only = lambda c: F.min_by(F.struct(F.when(~F.col("seq.new"), F.col(c)).alias("v")), "seq")["v"].alias(c)
     # values in structs: max_by over a plain column would pass over nothing, but null values must win too
     aggs = [pick[c](F.struct(F.col(c).alias("v")), "seq")["v"].alias(c) if c in pick else old_only(c) for c in cols]
     return (both.groupBy(*key).agg(*aggs) if aggs else both.select(*key).distinct()).select(*old.columns)
 
 
+def combine(deltas: dict[str, DataFrame]) -> Graph:
+    """One graph of many that were written by themselves: tables with batch, their order. What the merges
+    do row by row holds between batches too: nodes take what was written last, an identity only where one was
+    given, terms and citations what was written first, and a placeholder gives way to a real article."""
+    out = {}
+    of = lambda cols: F.struct(*cols)
+    for table, (_, key) in TABLES.items():
+        df = deltas[table]
+        cols = [c for c in df.columns if c not in key and c != "batch"]
+        if not cols:
+            out[table] = df.select(*key).distinct()
+            continue
+        if table == "document":
+            named = F.greatest(*[F.col(c).isNotNull() for c in IDENTITY])
+            got = df.groupBy(*key).agg(F.max_by(of(["title", "batch_id"]), "batch").alias("own"), F.max_by(F.when(named, of(IDENTITY)), F.when(named, F.col("batch"))).alias("identity"))
+            out[table] = got.select(*key, "own.*", *[F.col(f"identity.{c}").alias(c) for c in IDENTITY]).select(*[c for c in df.columns if c != "batch"])
+            continue
+        order = F.struct(~F.coalesce("is_external", F.lit(False)), F.col("batch")) if table == "article" else F.col("batch")
+        pick = F.min_by if table in ("term", "references") else F.max_by
+        out[table] = df.groupBy(*key).agg(pick(of(cols), order).alias("v")).select(*key, "v.*").select(*[c for c in df.columns if c != "batch"])
+    return out
+
+
 def upsert_documents(graph: Graph, docs: DataFrame) -> Graph:
     """docs: doc_id, title, batch_id, seq and, if identities are known, their six columns. With them
     all six are written, null included; without them they stay as they are."""
@@ -244,8 +282,8 @@ def reconcile_vectors(graph: Graph, vectors: DataFrame) -> DataFrame:
 
 
 def check_counts(graph: Graph, vectors: DataFrame) -> tuple[int, int]:
-    """(real articles, vectors), which must be equal after a build."""
-    articles, n = real_articles(graph).count(), vectors.count()
+    """(real articles with text, vectors), which must be equal after a build; a blank article has no vector."""
+    articles, n = real_articles(graph).filter(text.strip(F.coalesce("noi_dung_preview", F.lit(""))) != "").count(), vectors.count()
     if articles != n:
         raise ValueError(f"{articles} real articles but {n} vectors")
     return articles, n

@@ -12,9 +12,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.config import DEFAULT, Settings
 from quillon.functions import fixed, text
 from quillon.operators import extract
 from quillon.operators import graph as g
+from quillon.scratch import materialize
 
 Encoder = Callable[[list[str]], list[list[float]]]
 Scorer = Callable[[list[str], list[str]], list[float]]
@@ -23,7 +25,7 @@ Generator = Callable[[str], str]
 QUERY_BATCH, QUERY_BLOCK = 4096, 256
 
 
-def embed(df: DataFrame, column: str, encoder: Callable[[], Encoder], batch_size: int = 32, out: str = "embedding") -> DataFrame:
+def embed(df: DataFrame, column: str, encoder: Callable[[], Encoder], batch_size: int = DEFAULT.embed_batch_size, out: str = "embedding") -> DataFrame:
     """Adds the embedding of a column. encoder makes the model, once per worker; texts of like length
     go together, which keeps padding small."""
 
@@ -80,15 +82,18 @@ def traverse(entries: DataFrame, graph: g.Graph, max_hop: int) -> dict[str, Data
     """Bounded breadth-first search from entries (query_id, article_id): nodes (query_id, article_id,
     hop, is_external), edges (query_id, hop, from_id, rel_type, to_article_id, to_term_id, is_external) and
     terms (query_id, term_id). Every edge of a visited node within the hops is kept, back edges too;
-    definitions end at their terms; only nodes that the search discovers are external."""
-    nodes = entries.select("query_id", "article_id").distinct().withColumn("hop", F.lit(0)).withColumn("is_external", F.lit(False))
+    definitions end at their terms; only nodes that the search discovers are external. Each hop is written
+    once, for the next one and for all that read its edges."""
+    nodes = materialize(entries.select("query_id", "article_id").distinct().withColumn("hop", F.lit(0)).withColumn("is_external", F.lit(False)), "traverse-frontier")
     frontier, edges = nodes, None
     for hop in range(1, max_hop + 1):
         pairs = frontier.select("query_id", F.col("article_id").alias("from_id"))
         step = pairs.join(g.expand(pairs.select("from_id").distinct(), graph), "from_id").select("query_id", F.lit(hop).alias("hop"), "from_id", "rel_type", "to_article_id", "to_term_id", "is_external")
+        step = materialize(step, "traverse-edges")
         edges = step if edges is None else edges.union(step)
         found = step.filter("to_article_id IS NOT NULL").groupBy("query_id", F.col("to_article_id").alias("article_id")).agg(F.bool_or("is_external").alias("is_external"))
         frontier = found.join(nodes, ["query_id", "article_id"], "left_anti").select("query_id", "article_id", F.lit(hop).alias("hop"), "is_external")
+        frontier = materialize(frontier, "traverse-frontier") if hop < max_hop else frontier
         nodes = nodes.union(frontier)
     if edges is None:
         edges = g.expand(nodes.select(F.col("article_id").alias("from_id")), graph).limit(0).select(F.lit(None).cast(entries.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("hop"), "*")
@@ -134,8 +139,15 @@ def contexts(ranked: DataFrame, texts: DataFrame, graph: g.Graph) -> DataFrame:
     return joined.select("query_id", "article_id", "pos", kind.alias("kind"), content.alias("content"))
 
 
-def prompts(queries: DataFrame, context: DataFrame, rules: str = "", lead: str = "CÂU HỎI: ", middle: str = "\n\nNGỮ CẢNH:\n", tail: str = "\n\nTRẢ LỜI:") -> DataFrame:
-    """query_id, prompt: rules, question and the context blocks in rank order. rules is the caller's."""
+#: What the model is told before question and context; the caller may give other rules.
+RULES = (
+    "Chỉ trả lời bằng nội dung của NGỮ CẢNH dưới đây, ngắn gọn, và dẫn Điều cho từng ý. Không dẫn văn bản nào ngoài NGỮ CẢNH. "
+    f'Nếu NGỮ CẢNH không đủ, chỉ nói: "{fixed.NOT_FOUND_ANSWER}".\n\n'
+)
+
+
+def prompts(queries: DataFrame, context: DataFrame, rules: str = RULES, lead: str = "CÂU HỎI: ", middle: str = "\n\nNGỮ CẢNH:\n", tail: str = "\n\nTRẢ LỜI:") -> DataFrame:
+    """query_id, prompt: rules, question and the context blocks in rank order."""
     head = F.concat(F.lit("[Điều: "), F.col("article_id"), F.lit("]"))
     block = (
         F.when(F.col("kind") == "external", F.concat(head, F.lit(f" {fixed.EXTERNAL_MARK}")))
@@ -169,32 +181,37 @@ def generate(df: DataFrame, generator: Callable[[], Generator], column: str = "p
     return df.withColumn(out, said(F.col(column)))
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, graph: g.Graph, texts: DataFrame, *, top_k: int = 5, threshold: float = 0.65, max_hop: int = 2, limit: int = 10, overfetch: int = 6, scorer: Callable[[], Scorer] | None = None, fetch_k: int = 15, at: str | None = None) -> dict[str, DataFrame]:
+def retrieve(queries: DataFrame, vectors: DataFrame, graph: g.Graph, texts: DataFrame, *, top_k: int | None = None, threshold: float | None = None, max_hop: int | None = None, limit: int | None = None, overfetch: int | None = None, scorer: Callable[[], Scorer] | None = None, fetch_k: int | None = None, at: str | None = None, settings: Settings = DEFAULT) -> dict[str, DataFrame]:
     """queries (query_id, question, embedding) to entries, nodes, edges, ranked and context. With a
     scorer, entries and pool are fetch_k wide and then reranked to limit. at (an ISO date), an option
-    that is off by default, keeps entries in force on that day only."""
-    k = fetch_k if scorer else top_k
-    hits = nearest(queries, vectors, k * overfetch)
+    that is off by default, keeps entries in force on that day only. What isn't given is as in settings.
+    Entries and ranked articles are written once; nothing searches the vectors or the graph twice."""
+    given = lambda value, name: getattr(settings, name) if value is None else value
+    limit, fetch_k = given(limit, "max_context_articles"), given(fetch_k, "rerank_fetch_k")
+    k = fetch_k if scorer else given(top_k, "top_k")
+    hits = nearest(queries, vectors, k * given(overfetch, "overfetch"))
     if at:
         dated = graph["document"].filter(F.coalesce(F.col("ngay_hieu_luc") <= at, F.lit(True)) & F.coalesce(F.col("ngay_het_hieu_luc") > at, F.lit(True))).select("doc_id")
         hits = hits.withColumn("doc_id", text.doc_of_article(text.article_of_vector(F.col("vec_id")))).join(dated, "doc_id", "left_semi").drop("doc_id")
-    entries = entry_points(hits, threshold, k)
-    walked = traverse(entries, graph, max_hop)
+    entries = materialize(entry_points(hits, given(threshold, "similarity_threshold"), k), "retrieve-entries")
+    walked = traverse(entries, graph, given(max_hop, "max_hop"))
     ranked = rank(entries, walked["edges"], fetch_k if scorer else limit)
     if scorer:
         ranked = rerank(ranked, queries, texts, scorer, limit)
+    ranked = materialize(ranked, "retrieve-ranked")
     return {"entries": entries, "ranked": ranked, "context": contexts(ranked, texts, graph), **walked}
 
 
-def chat(queries: DataFrame, vectors: DataFrame, graph: g.Graph, texts: DataFrame, generator: Callable[[], Generator], rules: str = "", **params) -> DataFrame:
+def chat(queries: DataFrame, vectors: DataFrame, graph: g.Graph, texts: DataFrame, generator: Callable[[], Generator], rules: str = RULES, **params) -> DataFrame:
     """A row per question: query_id, answer, hallucinated (null where nothing was found), citation_path
     (ranked articles, marked), edges_used (all edges of the search)."""
     r = retrieve(queries, vectors, graph, texts, **params)
+    context = materialize(r["context"], "chat-context")
     found = queries.join(r["entries"].select("query_id").distinct(), "query_id", "left_semi")
-    said = guard(generate(prompts(found, r["context"], rules), generator), r["context"]).select("query_id", "answer", "hallucinated")
+    said = guard(generate(prompts(found, context, rules), generator), context).select("query_id", "answer", "hallucinated")
     none = queries.join(r["entries"], "query_id", "left_anti").select("query_id", F.lit(fixed.NOT_FOUND_ANSWER).alias("answer"), F.lit(None).cast("array<string>").alias("hallucinated"))
     entry = r["entries"].select("query_id", "article_id", F.lit(True).alias("is_entry"))
-    shown = r["context"].join(entry, ["query_id", "article_id"], "left").select("query_id", F.struct("pos", text.cited(F.col("article_id"), F.coalesce("is_entry", F.lit(False)), F.col("kind") == "external").alias("id")).alias("p"))
+    shown = context.join(entry, ["query_id", "article_id"], "left").select("query_id", F.struct("pos", text.cited(F.col("article_id"), F.coalesce("is_entry", F.lit(False)), F.col("kind") == "external").alias("id")).alias("p"))
     path = shown.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["id"]).alias("citation_path"))
     edge = F.struct("hop", "from_id", "rel_type", F.coalesce("to_article_id", "to_term_id").alias("to_id"))
     used = r["edges"].groupBy("query_id").agg(F.array_sort(F.collect_set(edge)).alias("edges_used"))

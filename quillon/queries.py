@@ -8,9 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.config import Settings
 from quillon.functions import fixed, text
 from quillon.operators import evaluate, extract, retrieve
 from quillon.operators import graph as g
+from quillon.plans import jobs
+from quillon.scratch import materialize
+from quillon.sources import files
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -92,8 +96,10 @@ def hit_at_k(spark, sf_dir):
 )
 def mean_reciprocal_rank(spark, sf_dir):
     """G03."""
-    m = evaluate.summary(evaluate.rank_metrics(gold_labels(spark, sf_dir), ranked_labels(spark, sf_dir)))
-    return m.select("n", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "mrr")], F.array_join(F.transform("misses", lambda x: x.cast("string")), ",").alias("misses"))
+    metrics = evaluate.rank_metrics(gold_labels(spark, sf_dir), ranked_labels(spark, sf_dir))
+    missed = evaluate.misses(metrics).agg(F.array_join(F.transform(F.array_sort(F.collect_list("query_id")), lambda x: x.cast("string")), ",").alias("misses"))
+    one = lambda df: df.withColumn("one", F.lit(1))
+    return one(evaluate.summary(metrics)).join(one(missed), "one").select("n", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "mrr")], "misses")
 
 
 @query(
@@ -103,7 +109,7 @@ SELECT config, subset, count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELS
 )
 def ablation(spark, sf_dir):
     """G05 and the metrics of G06 over all questions and over those with several golds. The runs are dense and
-    its first hits, as the SQL states: neither graph expansion nor reranking, and no question set (G04)."""
+    its first hits, as the SQL states; ablation_runs has the other ones."""
     gold = gold_labels(spark, sf_dir).withColumn("gold", F.when(F.col("query_id") % 200 == 0, F.array_append("gold", F.lit("none"))).otherwise(F.col("gold")))
     ranked = ranked_labels(spark, sf_dir)
     out = evaluate.ablation(gold, {"dense": ranked, "first_only": ranked.filter("pos = 1")})
@@ -186,7 +192,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(lengt
 def rerank(spark, sf_dir):
     """Texts present, empty and missing; a score by length stands for the model."""
     ranked = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("query_id"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("article_id")).agg(F.min("l_linenumber").alias("pos"))
-    texts = table(spark, sf_dir, "part").filter("p_size % 3 < 2").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("article_id"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name")).alias("full_text"))
+    held = table(spark, sf_dir, "part").filter("p_size % 3 < 2").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("vec_id"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_name")).alias("document"))
+    texts = files.vector_texts(held, ranked.select("article_id").distinct())
     queries = ranked.select("query_id").distinct().withColumn("question", F.lit("q"))
     return retrieve.rerank(ranked, queries, texts, lambda: length_scorer(), 3).select("query_id", "article_id", F.col("pos").cast("long"))
 
@@ -202,9 +209,17 @@ def order_contexts(spark, sf_dir):
     return retrieve.contexts(ranked, part.filter("k = 0").select("article_id", F.col("p_name").alias("full_text")), graph)
 
 
+@query("SELECT DISTINCT 'p' || l_partkey AS article_id, p_size % 2 = 0 AS is_external, p_name AS noi_dung_preview FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_size % 3 = 0")
+def articles_by_id(spark, sf_dir):
+    """Ids that are asked for repeatedly, and ids that aren't there."""
+    node = lambda c: F.concat(F.lit("p"), F.col(c).cast("string"))
+    article = table(spark, sf_dir, "part").filter("p_size % 3 = 0").select(node("p_partkey").alias("article_id"), (F.col("p_size") % 2 == 0).alias("is_external"), F.col("p_name").alias("noi_dung_preview"))
+    return g.articles_by_id({"article": article}, table(spark, sf_dir, "lineitem").select(node("l_partkey").alias("article_id")))
+
+
 @query(f"WITH {CONTEXTS} SELECT query_id, article_id, CAST(pos AS BIGINT) AS pos, kind, content FROM k")
 def context_kinds(spark, sf_dir):
-    """F11, E02."""
+    """F11."""
     return order_contexts(spark, sf_dir).withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -215,7 +230,7 @@ SELECT query_id, 'CÂU HỎI: ' || query_id || chr(10) || chr(10) || 'NGỮ CẢ
 def prompt_assembly(spark, sf_dir):
     """F12."""
     c = order_contexts(spark, sf_dir)
-    return retrieve.prompts(c.select("query_id", F.col("query_id").cast("string").alias("question")).distinct(), c)
+    return retrieve.prompts(c.select("query_id", F.col("query_id").cast("string").alias("question")).distinct(), c, rules="")
 
 
 @query(
@@ -230,6 +245,58 @@ def citation_guard(spark, sf_dir):
     return retrieve.guard(answers, context).select("query_id", F.array_join("hallucinated", ",").alias("hallucinated"))
 
 
+@query(f"WITH {TRADE} SELECT b AS target_id, count(*) AS n FROM refs WHERE b LIKE 'n%' AND CAST(substr(b, 2) AS INT) % 5 = 0 GROUP BY b HAVING count(*) >= 3")
+def graph_query(spark, sf_dir):
+    """How often external articles are cited."""
+    sql = "SELECT r.target_id, count(*) AS n FROM {references} r JOIN {article} a ON a.article_id = r.target_id WHERE a.is_external = :external GROUP BY r.target_id HAVING count(*) >= :least"
+    return g.run(trade_graph(spark, sf_dir), sql, external=True, least=3)
+
+
+@query("""WITH q AS (SELECT 1 AS s, vec_id AS a, 'q' || label AS question, 'a' || vec_id AS gold FROM embeddings WHERE vec_id % 100 = 0 AND vec_id % 300 > 0 UNION ALL SELECT 2, vec_id, 'q' || (label + 5), 'a' || vec_id FROM embeddings WHERE vec_id % 100 = 50)
+SELECT question, gold FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY s, a) AS n FROM q) WHERE n = 1""")
+def question_sets(spark, sf_dir):
+    """Two sets as one, the first question of each text, those without a gold left out."""
+    v = table(spark, sf_dir, "embeddings").withColumn("id", F.concat(F.lit("a"), F.col("vec_id").cast("string")))
+    gold = lambda empty: F.when(empty, F.array().cast("array<string>")).otherwise(F.array("id"))
+    part = lambda n, shift, empty: v.filter(f"vec_id % 100 = {n}").select(F.col("vec_id").alias("at"), F.concat(F.lit("q"), (F.col("label") + shift).cast("string")).alias("question"), gold(empty).alias("gold"))
+    return evaluate.question_set(part(0, 0, F.col("vec_id") % 300 == 0), part(50, 5, F.lit(False))).select("question", F.col("gold")[0].alias("gold"))
+
+
+RING = """best AS (SELECT query_id, split_part(vec_id, '#', 1) AS article_id, max(1 - distance) AS similarity FROM hits GROUP BY ALL),
+entries AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, article_id) AS pos FROM best WHERE similarity >= 0.2) WHERE pos <= {wide}),
+ring AS (SELECT DISTINCT 'a' || label AS a, 'a' || ((label + 1) % 10) AS b FROM embeddings)"""
+
+
+def label_ring(spark, sf_dir) -> tuple[g.Graph, DataFrame]:
+    """Every label is an article that cites the next one; and the articles."""
+    articles = vectors_of(spark, sf_dir).select(text.article_of_vector(F.col("vec_id")).alias("article_id")).distinct()
+    graph = g.empty(spark)
+    refs = articles.select(F.col("article_id").alias("source_id"), F.concat(F.lit("a"), (F.pmod(F.substring("article_id", 2, 9).cast("int") + 1, F.lit(10))).cast("string")).alias("target_id"))
+    return graph | {"article": graph["article"].unionByName(articles.withColumn("is_external", F.lit(False)), allowMissingColumns=True), "references": graph["references"].unionByName(refs, allowMissingColumns=True)}, articles
+
+
+@query(f"""WITH {HITS.format(n=24)}, {RING.format(wide=4)},
+o AS (SELECT query_id, article_id, 0 AS tier, pos AS x, '' AS y FROM entries UNION ALL SELECT query_id, b, 1, 0, a FROM entries JOIN ring ON a = article_id),
+o1 AS (SELECT query_id, article_id, min(struct_pack(t := tier, x := x, y := y)) AS o FROM o GROUP BY ALL),
+pool AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY o, article_id) AS pos FROM o1),
+again AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY CAST(substr(article_id, 2) AS INT) % 4 = 0, CAST(substr(article_id, 2) AS INT) % 4 DESC, pos, article_id) AS pos FROM pool WHERE pos <= 4),
+runs AS (SELECT 'dense' AS config, query_id, article_id, pos FROM entries UNION ALL SELECT 'dense_graph', query_id, article_id, pos FROM pool WHERE pos <= 6 UNION ALL SELECT 'dense_graph_rerank', query_id, article_id, pos FROM again),
+gold AS (SELECT query_id, 'a' || label AS article_id FROM q UNION ALL SELECT query_id, 'a' || ((label + 1) % 10) FROM q WHERE query_id % 200 = 0),
+c AS (SELECT DISTINCT config FROM runs),
+m AS (SELECT config, q.query_id, (SELECT min(pos) FROM runs r JOIN gold g ON g.query_id = r.query_id AND g.article_id = r.article_id WHERE r.config = c.config AND r.query_id = q.query_id) AS rank FROM c, q),
+y AS (SELECT config, 'all' AS subset, rank FROM m UNION ALL SELECT config, 'multi_hop', rank FROM m WHERE query_id % 200 = 0)
+SELECT config, subset, count(*) AS n, round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0 END), 6) AS recall5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0 END), 6) AS recall10, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM y GROUP BY ALL""")
+def ablation_runs(spark, sf_dir):
+    """The three configurations over one graph, with a stub for the reranker."""
+    graph, articles = label_ring(spark, sf_dir)
+    texts = articles.select("article_id", F.expr("repeat('x', cast(substring(article_id, 2) AS int) % 4)").alias("full_text"))
+    own = lambda shift: F.concat(F.lit("a"), ((F.col("label") + shift) % 10).cast("string"))
+    gold = F.when(F.col("query_id") % 200 == 0, F.array(own(0), own(1))).otherwise(F.array(own(0)))
+    questions = asked(spark, sf_dir).withColumn("question", F.lit("q")).withColumn("gold", gold)
+    out = evaluate.run_ablation(questions, vectors_of(spark, sf_dir), graph, texts, lambda: length_scorer(), Settings(similarity_threshold=THRESHOLD, max_context_articles=6, rerank_fetch_k=4, max_hop=1))
+    return out.select("config", "subset", "n", *[F.round(c, 6).alias(c) for c in ("recall5", "recall10", "mrr")])
+
+
 # ---- merges and maintenance
 def events_as(spark, sf_dir, key: str):
     return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias(key), "event_type", "value", F.col("event_id").alias("seq"))
@@ -237,14 +304,14 @@ def events_as(spark, sf_dir, key: str):
 
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def merge_last_wins(spark, sf_dir):
-    """W1, W2, D01-D06."""
+    """The merge below D01-D06."""
     old = spark.createDataFrame([], "user_id string, event_type string, value double")
     return g.merge(old, events_as(spark, sf_dir, "user_id"), ["user_id"], last=["event_type", "value"])
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS user_id, arg_min(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def merge_first_wins(spark, sf_dir):
-    """The first type is kept, also when the same rows are merged again."""
+    """W3, the merge below D08 and D09: the first type is kept, also when the same rows are merged again."""
     old = spark.createDataFrame([], "user_id string, event_type string, value double")
     new = events_as(spark, sf_dir, "user_id")
     for _ in range(2):
@@ -284,13 +351,13 @@ def two_mode_documents(spark, sf_dir):
     return graph["document"].select("doc_id", "title", "so_hieu")
 
 
-@query("SELECT 'c' || c_custkey AS article_id FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT 'c' || c_custkey AS article_id FROM customer WHERE c_nationkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 > 0 AND o_orderstatus = 'F')")
 def orphan_nodes(spark, sf_dir):
     """Placeholders without an edge."""
     node = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
     graph = g.empty(spark)
     articles = table(spark, sf_dir, "customer").select(node("c", "c_custkey").alias("article_id"), (F.col("c_nationkey") % 2 == 0).alias("is_external"))
-    refs = table(spark, sf_dir, "orders").select(node("o", "o_orderkey").alias("source_id"), node("c", "o_custkey").alias("target_id"), F.lit("").alias("raw_text"))
+    refs = table(spark, sf_dir, "orders").filter("o_custkey % 3 > 0 AND o_orderstatus = 'F'").select(node("o", "o_orderkey").alias("source_id"), node("c", "o_custkey").alias("target_id"), F.lit("").alias("raw_text"))
     return g.orphans(graph | {"article": graph["article"].unionByName(articles, allowMissingColumns=True), "references": refs})
 
 
@@ -370,7 +437,7 @@ def id_parts(spark, sf_dir):
     """B06, B10, B11, B12, B13."""
     stem = F.concat(F.lit("d"), F.col("l_orderkey").cast("string"), F.lit("_00"), F.col("l_linenumber").cast("string"))
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", text.file_parts(stem).alias("p"))
-    article = text.article_id(F.col("p.prefix"), F.col("p.so_dieu"))
+    article = text.article_id(F.col("p.prefix"), text.plain_number(F.concat(F.lit("00"), F.col("p.so_dieu").cast("string"))))
     vector = text.clause_vector_id(article, F.lit(1))
     return df.select("l_orderkey", "l_linenumber", "p.prefix", F.col("p.so_dieu").cast("long").alias("so_dieu"), text.article_of_vector(vector).alias("article_id"), vector.alias("vector_id"), text.doc_of_article(article).alias("doc"))
 
@@ -398,7 +465,7 @@ def labelled_dates(spark, sf_dir):
 
 @query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'expired' WHEN 'O' THEN 'current' ELSE 'partial' END AS status, o_orderstatus <> 'O' AS flagged FROM orders")
 def status_case(spark, sf_dir):
-    """B23, B24, H09."""
+    """B23, B24."""
     live = F.when(F.col("o_orderstatus") == "F", "Hết hiệu lực toàn bộ").when(F.col("o_orderstatus") == "O", "Còn hiệu lực").otherwise("HẾT HIỆU LỰC một phần")
     so = F.concat(F.col("o_orderkey").cast("string"), F.lit("/2020/NĐ-CP"))
     df = table(spark, sf_dir, "orders").select("o_orderkey", live.alias("live"), text.names_so_hieu(F.concat(F.lit("Nghị định "), so), so).alias("named"))
@@ -406,6 +473,34 @@ def status_case(spark, sf_dir):
     return df.filter("named").select("o_orderkey", status.alias("status"), status.isin("expired", "partial").alias("flagged"))
 
 
+@query("SELECT 'd' || o_orderkey AS doc_id, o_orderkey || '/2020/NĐ-CP' AS so_hieu, CASE WHEN o_custkey % 4 = 0 THEN 'unknown' WHEN o_orderstatus = 'F' THEN 'expired' ELSE 'current' END AS status, o_custkey % 4 > 0 AND o_orderstatus = 'F' AS flagged FROM orders")
+def freshness_report(spark, sf_dir):
+    """Documents against what a portal says of them; some aren't there, others have a number that ends alike."""
+    o = table(spark, sf_dir, "orders")
+    so = F.concat(F.col("o_orderkey").cast("string"), F.lit("/2020/NĐ-CP"))
+    live = F.when(F.col("o_orderstatus") == "F", "Hết hiệu lực toàn bộ").otherwise("Còn hiệu lực")
+    said = o.filter("o_custkey % 4 > 0").select(F.concat(F.lit("Nghị định "), so, F.lit(" về thuế")).alias("title"), live.alias("trang_thai"))
+    other = o.select(F.concat(F.lit("Nghị định 7/"), so).alias("title"), F.lit("Hết hiệu lực một phần").alias("trang_thai"))
+    docs = o.select(F.concat(F.lit("d"), F.col("o_orderkey").cast("string")).alias("doc_id"), so.alias("so_hieu"))
+    return jobs.freshness(docs, said.union(other)).withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'n/a' ELSE printf('%.1f%% (%d/%d)', 100.0 * (p_size % 3) / (p_size % 5), p_size % 3, p_size % 5) END AS share,
+'a' || p_partkey || CASE WHEN p_size % 2 = 0 THEN '*' ELSE '' END || CASE WHEN p_size % 3 = 0 THEN ' [ngoài corpus]' ELSE '' END AS cited, p_size % 4 = 0 AS is_number FROM part""")
+def formats(spark, sf_dir):
+    """B22, B28, B29."""
+    n = F.col("p_size")
+    keyword = F.concat(F.lit(" "), F.col("p_partkey").cast("string"), F.when(n % 4 == 0, "/2020/NĐ-CP ").when(n % 4 == 1, "/20/NĐ-CP").when(n % 4 == 2, "/2020/NĐ CP").otherwise(""))
+    article = F.concat(F.lit("a"), F.col("p_partkey").cast("string"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.share(n % 3, n % 5).alias("share"), text.cited(article, n % 2 == 0, F.when(n % 3 == 0, True)).alias("cited"), text.looks_like_so_hieu(keyword).alias("is_number"))
+
+
+@query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS BIGINT) AS batch FROM orders")
+def paced_batches(spark, sf_dir):
+    """Slices of a global order."""
+    return jobs.batches(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100).withColumn("batch", F.col("batch").cast("long"))
+
+
 @query("SELECT page_id, left(split_part(string_split(rtrim(url, '/'), '/')[-1], '--', 1), 100) AS slug, string_split(html, '</nav>')[-1] AS body, length(html) < 6000 AND contains(lower(html), 'not found') AS not_found FROM pages")
 def page_texts(spark, sf_dir):
     """A25, A26, A27."""
@@ -439,8 +534,9 @@ def order_items(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(least).select("l_orderkey", "l_linenumber", "x.*")
 
 
-def order_documents(spark, sf_dir):
-    """A legal text per order: a chapter and an article per line item, clauses, a look-alike appendix."""
+def order_documents(spark, sf_dir, shared: bool = True):
+    """A legal text per order: a chapter and an article per line item, clauses, a look-alike appendix. If shared, four
+    orders have one title, and so one document id."""
     n = F.col("l_linenumber").cast("string")
     lines = F.concat(
         F.lit("Chương "), F.expr(ROMAN.format(x="l_linenumber")), F.lit("\n\n"), F.col("l_returnflag"), F.lit("\n"), F.when(F.col("l_linestatus") == "O", "  ").otherwise(""), F.lit("Điều 0"), n, F.lit(". "), F.col("l_linestatus"),
@@ -448,25 +544,42 @@ def order_documents(spark, sf_dir):
     )
     items = order_items(spark, sf_dir).select("l_orderkey", "l_linenumber", lines.alias("t"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "t"))), lambda x: x["t"]), "\n")
-    return items.groupBy("l_orderkey").agg(F.concat(F.lit("Mở đầu\n"), body, F.lit("\nPHỤ LỤC I\nĐiều 99. Mẫu\nx")).alias("text")).select(F.concat(F.lit("d"), F.col("l_orderkey").cast("string")).alias("doc_id"), "text")
+    title = F.concat(F.lit("# Tập "), F.floor(F.col("l_orderkey") / 4).cast("string"), F.lit("\n")) if shared else F.lit("")
+    return items.groupBy("l_orderkey").agg(F.concat(title, F.lit("Mở đầu\n"), body, F.lit("\nPHỤ LỤC I\nĐiều 99. Mẫu\nx")).alias("text")).select(F.concat(F.lit("d"), F.col("l_orderkey").cast("string")).alias("doc_id"), "text")
 
 
 ITEMS = "WITH i AS (SELECT l_orderkey, l_linenumber AS n, left(min(l_returnflag || l_linestatus), 1) AS rf, right(min(l_returnflag || l_linestatus), 1) AS ls FROM lineitem GROUP BY ALL) "
 
 
-@query(ITEMS + "SELECT 'd' || l_orderkey || '_dieu-' || n AS article_id, CAST(n AS BIGINT) AS so_dieu, 'd' || l_orderkey || '_chuong-' || n AS chapter_id, rf AS tieu_de, ls || chr(10) || CASE WHEN rf = 'N' THEN '1. một ' || n || chr(10) || 'tiếp' || chr(10) || '2. hai' ELSE 'không khoản' || chr(10) || '1. không' END AS full_text FROM i")
+@query(ITEMS + "SELECT 'tap-' || l_orderkey // 4 || '_dieu-' || n AS article_id, CAST(n AS BIGINT) AS so_dieu, 'tap-' || l_orderkey // 4 || '_chuong-' || n AS chapter_id, rf AS tieu_de, ls || chr(10) || CASE WHEN rf = 'N' THEN '1. một ' || n || chr(10) || 'tiếp' || chr(10) || '2. hai' ELSE 'không khoản' || chr(10) || '1. không' END AS full_text FROM i")
 def parsed_articles(spark, sf_dir):
     """C01, C02, C03, C07, B08, B09, B14, B15."""
     a = extract.parse_documents(order_documents(spark, sf_dir))
     return a.select("article_id", F.col("so_dieu").cast("long").alias("so_dieu"), "chapter.chapter_id", "chapter.tieu_de", "full_text")
 
 
-@query(ITEMS + "SELECT 'd' || l_orderkey || '_dieu-' || n || '_khoan-1' AS clause_id, 'một ' || n || chr(10) || 'tiếp' AS noi_dung FROM i WHERE rf = 'N' UNION ALL SELECT 'd' || l_orderkey || '_dieu-' || n || '_khoan-2', 'hai' FROM i WHERE rf = 'N'")
+@query(ITEMS + "SELECT 'tap-' || l_orderkey // 4 || '_dieu-' || n || '_khoan-1' AS clause_id, 'một ' || n || chr(10) || 'tiếp' AS noi_dung FROM i WHERE rf = 'N' UNION ALL SELECT 'tap-' || l_orderkey // 4 || '_dieu-' || n || '_khoan-2', 'hai' FROM i WHERE rf = 'N'")
 def parsed_clauses(spark, sf_dir):
-    """C04, D06."""
+    """C04."""
     return extract.clauses_of(extract.parse_documents(order_documents(spark, sf_dir))).select("clause_id", "noi_dung")
 
 
+@query(ITEMS + """SELECT 'd' || l_orderkey || '_chuong-' || n AS child_id, 'chapter' AS child_kind, 'd' || l_orderkey AS parent_id, 'document' AS parent_kind FROM i
+UNION ALL SELECT 'd' || l_orderkey || '_dieu-' || n, 'article', 'd' || l_orderkey || '_chuong-' || n, 'chapter' FROM i
+UNION ALL SELECT 'd' || l_orderkey || '_dieu-' || n || '_khoan-' || k, 'clause', 'd' || l_orderkey || '_dieu-' || n, 'article' FROM i, (VALUES (1), (2)) v(k) WHERE rf = 'N'""")
+def upserted_hierarchy(spark, sf_dir):
+    """Whole documents, each twice; what is written again changes nothing."""
+    docs = materialize(order_documents(spark, sf_dir, shared=False), "orders")
+    articles = materialize(extract.parse_documents(docs).withColumn("chapter_id", F.col("chapter.chapter_id")), "articles")
+    chapters = materialize(extract.chapters_of(docs), "chapters")
+    rows = docs.select("doc_id", F.lit("t").alias("title"), F.lit("b").alias("batch_id"), F.lit(0).alias("seq"))
+    clauses = materialize(extract.clauses_of(articles).withColumn("seq", F.struct("seq", "clause_seq")), "clauses")
+    graph = g.empty(spark)
+    for _ in range(2):
+        graph = {name: materialize(df, name) for name, df in g.upsert_parsed(graph, rows, chapters, articles, clauses).items()}
+    return graph["belongs_to"]
+
+
 @query("SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE trim(line, ' ' || chr(9) || chr(13)) <> '') AS n_full FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
 def line_counts(spark, sf_dir):
     """The lines that the parser sees, over whole documents."""
@@ -486,16 +599,62 @@ TARGET = "CASE rf WHEN 'N' THEN l_orderkey || '-2019-nd-cp' WHEN 'R' THEN 'luat-
 
 @query(ITEMS + f"SELECT l_orderkey || '-' || n AS source_id, {TARGET.format(own="CASE ls WHEN 'O' THEN '74-2025-qh15' ELSE 'cur' END")} AS target_article_id FROM i")
 def citations(spark, sf_dir):
-    """C08-C13, H07."""
+    """C08-C13."""
     return extract.references(cited_lines(spark, sf_dir), fixed.ALIASES).select("source_id", "target_article_id")
 
 
 @query(ITEMS + f"SELECT l_orderkey || '-' || n AS source_id, {TARGET.format(own="'cur'")} AS target_article_id, CASE ls WHEN 'F' THEN 'AMENDS' ELSE 'CONFLICTS_WITH' END AS relationship_type_hint, CASE ls WHEN 'F' THEN 'sửa đổi' ELSE 'Bãi Bỏ' END AS trigger_keyword FROM i WHERE rf IN ('N', 'R')")
 def relation_candidates(spark, sf_dir):
-    """C14, C15, C16, B12, H06."""
+    """C14, C15, C16, B12."""
     return extract.relation_candidates(cited_lines(spark, sf_dir)).select("source_id", "target_article_id", "relationship_type_hint", "trigger_keyword")
 
 
+def cited_articles(spark, sf_dir) -> tuple[g.Graph, DataFrame]:
+    articles = cited_lines(spark, sf_dir).select(F.col("source_id").alias("article_id"), F.col("current_doc").alias("doc_id"), F.col("text").alias("full_text"), F.lit(1).alias("seq"))
+    graph = g.empty(spark)
+    return graph | {"article": graph["article"].unionByName(articles.select("article_id", F.lit(False).alias("is_external")), allowMissingColumns=True)}, articles
+
+
+@query(ITEMS + f", c AS (SELECT l_orderkey || '-' || n AS source_id, {TARGET.format(own="CASE ls WHEN 'O' THEN '74-2025-qh15' ELSE 'cur' END")} AS target_id FROM i) SELECT source_id, target_id, target_id NOT IN (SELECT source_id FROM c) AS is_external FROM c")
+def linked_references(spark, sf_dir):
+    """Citations of all articles as edges, with placeholders for what they cite."""
+    graph, articles = cited_articles(spark, sf_dir)
+    graph, _ = jobs.link_references(graph, articles, fixed.ALIASES)
+    return graph["references"].select("source_id", "target_id").join(graph["article"].select(F.col("article_id").alias("target_id"), "is_external"), "target_id")
+
+
+def relation_generator():
+    """A stub that reads the prompt: amendments by number are confirmed, others are denied or answered in no form."""
+
+    def reply(prompt: str) -> str:
+        said = prompt.rpartition("\n")[2].lower()
+        if "sửa đổi" in said:
+            return '```json\n{"relationship_type": "AMENDS", "confidence": 0.5, "ly_do": "vì"}\n```'
+        return '{"relationship_type": "NONE", "confidence": 1, "ly_do": ""}' if "luật" in said else "không biết"
+
+    return reply
+
+
+@query(ITEMS + f"SELECT l_orderkey || '-' || n AS source_id, {TARGET.format(own="'cur'")} AS target_id, 'AMENDS' AS type, CAST(0.5 AS DOUBLE) AS confidence, 'vì' AS ly_do FROM i WHERE rf IN ('N', 'R') AND ls = 'F'")
+def linked_relations(spark, sf_dir):
+    """Candidates put to a model (a stub), its confirmations as edges."""
+    graph, articles = cited_articles(spark, sf_dir)
+    return jobs.link_relations(graph, articles, lambda: relation_generator())["relation"]
+
+
+@query("""SELECT 'defines' AS edge, 'p' || p_partkey AS article_id, 'ngay-' || p_partkey AS term_id FROM part
+UNION ALL SELECT 'uses', 'p' || a.p_partkey, 'ngay-' || b.p_partkey FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1""")
+def linked_terms(spark, sf_dir):
+    """All definitions first, then the uses of their terms, but for an article's own."""
+    k = F.col("p_partkey")
+    said = F.concat(F.lit("“Ngày "), k.cast("string"), F.lit("” được hiểu là ngày thứ x. Xem Ngày "), (k + 1).cast("string"), F.lit(", không phải Ngày "), k.cast("string"), F.lit("0x."))
+    articles = table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string")).alias("article_id"), said.alias("full_text"))
+    graph = g.empty(spark)
+    graph |= {"article": graph["article"].unionByName(articles.select("article_id", F.lit(False).alias("is_external")), allowMissingColumns=True)}
+    graph = jobs.link_terms(graph, articles)
+    return graph["defines"].select(F.lit("defines").alias("edge"), "article_id", "term_id").union(graph["uses_term"].select(F.lit("uses"), "article_id", "term_id"))
+
+
 @query(r"SELECT doc_id, count(*) AS n_sentences FROM (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([.;])\s+', '\1' || chr(10), 'g'), '\n+')) AS s FROM documents) WHERE regexp_matches(s, '\S') GROUP BY doc_id")
 def sentence_split(spark, sf_dir):
     """C14, over whole documents."""
@@ -506,7 +665,7 @@ def sentence_split(spark, sf_dir):
 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'nguoi-goi-la-nld', 'người làm' || chr(10) || 'việc' FROM part WHERE p_size % 2 = 0
 UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'ngay-' || p_partkey || '-duoc-hieu', 'ngày thứ ' || p_size || ' và tháng được hiểu là tháng.' FROM part WHERE p_size % 2 = 0""")
 def definitions(spark, sf_dir):
-    """C18-C21, H05 (first pass)."""
+    """C18-C21."""
     listed = F.when(F.col("p_size") % 2 == 0, "Giải thích TỪ NGỮ\n").otherwise("Danh sách\n")
     said = F.concat(listed, F.lit("1. Người (gọi là NLĐ) là người làm\nviệc\n2. không có\n3. “Ngày "), F.col("p_partkey").cast("string"), F.lit("” được hiểu là ngày thứ "), F.col("p_size").cast("string"), F.lit(" và tháng được hiểu là tháng.\n"))
     return extract.definitions(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("source_id"), said.alias("text"))).select("source_id", "term_id", "dinh_nghia")
@@ -520,7 +679,7 @@ def terms_of(spark, sf_dir):
 @query(r"""WITH t AS (SELECT CAST(item_id AS VARCHAR) AS term_id, array_to_string(list_slice(list_filter(regexp_split_to_array(regexp_replace(text, '[^A-Za-z ]+', ' ', 'g'), ' +'), lambda w: w <> ''), 2, 3), ' ') AS term FROM benchmark)
 SELECT doc_id AS source_id, term_id FROM documents JOIN t ON contains(text, term) AND regexp_matches(text, '(^|[^\pL\pN\pM_])' || term || '($|[^\pL\pN\pM_])')""")
 def term_usage(spark, sf_dir):
-    """C22, H05 (second pass): two-word terms of the benchmark over whole documents."""
+    """Two-word terms of the benchmark over whole documents."""
     return extract.term_usages(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text"), terms_of(spark, sf_dir)).select("source_id", "term_id")
 
 
@@ -537,7 +696,7 @@ def order_answers(spark, sf_dir):
     gold = F.when(k == 0, "đúng").when(k == 1, "b")
     facts = F.array(F.lit("6 Tháng"), F.lit("HIGH"))
     return table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").alias("query_id"), kind.alias("type"), said.alias("answer_said"), gold.alias("answer"), facts.alias("key_facts"), F.array(F.col("o_custkey").cast("string")).alias("ranked"), F.when(k < 3, F.array((F.col("o_custkey") - F.col("o_custkey") % 2).cast("string"))).otherwise(F.array().cast("array<string>")).alias("gold")
+        F.col("o_orderkey").alias("query_id"), kind.alias("type"), F.when(F.col("o_custkey") % 3 == 0, F.replace(F.replace(said, F.lit("ú"), F.lit("u\u0301")), F.lit("ô"), F.lit("o\u0302"))).otherwise(said).alias("answer_said"), gold.alias("answer"), facts.alias("key_facts"), F.array(F.col("o_custkey").cast("string")).alias("ranked"), F.when(k < 3, F.array((F.col("o_custkey") - F.col("o_custkey") % 2).cast("string"))).otherwise(F.array().cast("array<string>")).alias("gold")
     )
 
 
@@ -548,7 +707,7 @@ CASE WHEN o_orderkey % 5 < 3 THEN o_custkey % 2 = 0 END AS retrieved FROM orders
 
 @query(f"WITH {SCORED} SELECT query_id, type, correct, retrieved FROM s")
 def answer_scores(spark, sf_dir):
-    """G07-G11, B26."""
+    """Some answers come in decomposed letters."""
     return evaluate.score(order_answers(spark, sf_dir)).select("query_id", "type", "correct", "retrieved")
 
 
@@ -569,35 +728,54 @@ def length_encoder():
 
 @query("SELECT doc_id, CAST(length(text) AS BIGINT) AS x, CAST(length(text) - length(replace(text, ' ', '')) AS BIGINT) AS y FROM documents")
 def embedded_documents(spark, sf_dir):
-    """F01, A14, A19, with a stub for the model."""
+    """F01, with a stub for the model."""
     e = retrieve.embed(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", lambda: length_encoder())
     return e.select("doc_id", F.col("embedding")[0].cast("long").alias("x"), F.col("embedding")[1].cast("long").alias("y"))
 
 
+@query(r"""SELECT 'd' || doc_id AS vec_id, CASE WHEN regexp_matches(text, '\S') THEN length(text) ELSE 3 END AS n, CASE WHEN regexp_matches(text, '\S') THEN length(text) ELSE 0 END AS x FROM documents WHERE doc_id % 5 <> 0 AND (regexp_matches(text, '\S') OR doc_id % 3 = 0)""")
+def embedded_articles(spark, sf_dir):
+    """Vectors of articles merged into older ones by id, then some deleted."""
+    docs = table(spark, sf_dir, "documents")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    articles = docs.select(name.alias("article_id"), F.lit("d").alias("doc_id"), F.lit(1).alias("so_dieu"), F.col("text").alias("full_text"), F.lit(0).alias("seq"))
+    old = docs.filter("doc_id % 3 = 0").select(name.alias("vec_id"), F.lit("d").alias("doc_id"), F.lit(1).alias("so_dieu"), F.lit("old").alias("document"), F.array(F.lit(0.0).cast("float")).alias("embedding"))
+    both = files.upsert_vectors(old, jobs.embed_articles(articles, lambda: length_encoder()).withColumn("seq", F.lit(0)))
+    kept = files.without_vectors(both, docs.filter("doc_id % 5 = 0").select(name.alias("vec_id")))
+    return kept.select("vec_id", F.length("document").cast("long").alias("n"), F.col("embedding")[0].cast("long").alias("x"))
+
+
 def echo_generator():
     return lambda prompt: f"Theo Điều 1 (1/2020/NĐ-CP): {len(prompt)}"
 
 
 @query("SELECT conv_id, turn, 'Theo Điều 1 (1/2020/NĐ-CP): ' || length(text) AS answer FROM conversations")
 def generated_answers(spark, sf_dir):
-    """A22, A23, C17, with a stub for the model."""
+    """A22, with a stub for the model."""
     return retrieve.generate(table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt")), lambda: echo_generator()).select("conv_id", "turn", "answer")
 
 
+@query(f"""WITH {HITS.format(n=90)}, {RING.format(wide=15)},
+h1 AS (SELECT query_id, 1 AS hop, a, b FROM entries JOIN ring ON a = article_id),
+f1 AS (SELECT DISTINCT query_id, b AS article_id FROM h1 WHERE NOT EXISTS (SELECT 1 FROM entries e WHERE e.query_id = h1.query_id AND e.article_id = h1.b)),
+edges AS (SELECT * FROM h1 UNION ALL SELECT query_id, 2, a, b FROM f1 JOIN ring ON a = article_id),
+o AS (SELECT query_id, article_id, 0 AS tier, pos AS x, '' AS y FROM entries UNION ALL SELECT query_id, b, 1, hop, a FROM edges),
+o1 AS (SELECT query_id, article_id, min(struct_pack(t := tier, x := x, y := y)) AS o FROM o GROUP BY ALL),
+ranked AS (SELECT query_id, article_id, row_number() OVER (PARTITION BY query_id ORDER BY o, article_id) AS pos FROM o1 QUALIFY pos <= 10),
+c AS (SELECT query_id, string_agg('[Điều: ' || article_id || ']' || chr(10) || 'nội dung ' || article_id, chr(10) || chr(10) ORDER BY pos) AS context,
+             list(article_id || CASE WHEN EXISTS (SELECT 1 FROM entries e WHERE e.query_id = ranked.query_id AND e.article_id = ranked.article_id) THEN '*' ELSE '' END ORDER BY pos) AS path FROM ranked GROUP BY query_id),
+n AS (SELECT query_id, count(*) AS n_edges FROM edges GROUP BY query_id)
+SELECT q.query_id, CASE WHEN path IS NULL THEN '{fixed.NOT_FOUND_ANSWER}' ELSE 'Theo Điều 1 (1/2020/NĐ-CP): ' || length('{retrieve.RULES.replace("'", "''")}' || 'CÂU HỎI: câu hỏi ' || q.query_id || chr(10) || chr(10) || 'NGỮ CẢNH:' || chr(10) || context || chr(10) || chr(10) || 'TRẢ LỜI:')
+       || '{fixed.WARNING_BEFORE}' || '1-2020-nd-cp' || '{fixed.WARNING_AFTER}' END AS answer,
+       CASE WHEN path IS NULL THEN NULL ELSE '1-2020-nd-cp' END AS hallucinated, array_to_string(path, ' ') AS citation_path, CAST(n_edges AS BIGINT) AS n_edges
+FROM q LEFT JOIN c ON c.query_id = q.query_id LEFT JOIN n ON n.query_id = q.query_id""")
 def chat_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole chain over the stated queries, with stubs for the models (no SQL: it calls a model)."""
-    v = vectors_of(spark, sf_dir)
-    articles = v.select(text.article_of_vector(F.col("vec_id")).alias("article_id")).distinct()
-    graph = g.empty(spark)
-    refs = articles.select(F.col("article_id").alias("source_id"), F.concat(F.lit("a"), (F.pmod(F.substring("article_id", 2, 9).cast("int") + 1, F.lit(10))).cast("string")).alias("target_id"))
-    graph |= {"article": graph["article"].unionByName(articles.withColumn("is_external", F.lit(False)), allowMissingColumns=True), "references": graph["references"].unionByName(refs, allowMissingColumns=True)}
+    """The whole chain over the stated queries, with stubs for the models."""
+    graph, articles = label_ring(spark, sf_dir)
     queries = asked(spark, sf_dir).withColumn("question", F.concat(F.lit("câu hỏi "), F.col("query_id").cast("string")))
     texts = articles.select("article_id", F.concat(F.lit("nội dung "), F.col("article_id")).alias("full_text"))
-    out = retrieve.chat(queries, v, graph, texts, lambda: echo_generator(), threshold=THRESHOLD, scorer=lambda: length_scorer())
-    return out.select("query_id", "answer", "hallucinated", "citation_path", F.size("edges_used").alias("n_edges"))
-
-
-REGISTRY["chat_answers"] = (chat_answers, None)
+    out = retrieve.chat(queries, vectors_of(spark, sf_dir), graph, texts, lambda: echo_generator(), threshold=THRESHOLD, scorer=lambda: length_scorer())
+    return out.select("query_id", "answer", F.array_join("hallucinated", ",").alias("hallucinated"), F.array_join("citation_path", " ").alias("citation_path"), F.size("edges_used").cast("long").alias("n_edges"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

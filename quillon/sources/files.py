@@ -49,8 +49,8 @@ def catalogued(entries: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFra
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
-    """An eval set {"questions": [...]}: a row per question."""
-    return spark.read.json(path, multiLine=True).select(F.explode("questions").alias("q")).select("q.*")
+    """An eval set {"questions": [...]}: a row per question, with its place at."""
+    return spark.read.json(path, multiLine=True).select(F.posexplode("questions").alias("at", "q")).select("at", "q.*")
 
 
 # fetching
@@ -94,6 +94,64 @@ def write_pages(fetched: DataFrame, path: str, mode: str = "overwrite") -> None:
     fetched.filter("error IS NULL").select("stem", "body", "sidecar").write.mode(mode).parquet(path)
 
 
+def fetch_source(name: str, fetch: Callable[[str], tuple[str, str]], tries: int = 3, pause: float = 2.0) -> type:
+    """A data source of fetched pages around a given fetch: spark.dataSource.register(fetch_source("pages", fetch)), then
+    spark.read.format("pages").option("urls", "one a line").load() has the columns of fetch_pages. Each url is a
+    partition, so that a page that fails or hangs holds up no other."""
+    from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+    schema = "stem string, url string, body string, sidecar string, error string"
+
+    class Reader(DataSourceReader):
+        def __init__(self, urls: list[str]) -> None:
+            self.urls = urls
+
+        def partitions(self) -> list[InputPartition]:
+            return [InputPartition(u) for u in self.urls]
+
+        def read(self, partition: InputPartition) -> Iterator[tuple]:
+            url = partition.value
+            stem = url.rstrip("/").rpartition("/")[2].partition("--")[0][:100]
+            try:
+                yield (stem, url, *fetch_with_retry(fetch, url, tries, pause), None)
+            except Exception as e:
+                yield (stem, url, None, None, f"{type(e).__name__}: {e}")
+
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return name
+
+        def schema(self) -> str:
+            return schema
+
+        def reader(self, schema) -> DataSourceReader:  # noqa: ARG002
+            return Reader([u.strip() for u in self.options.get("urls", "").splitlines() if u.strip()])
+
+    return Source
+
+
+def write_page_files(fetched: DataFrame, path: str) -> DataFrame:
+    """Fetched pages as two files each, stem.txt and stem.tt.txt, which document_files reads back; path is a folder that
+    all executors reach (a local path or a uri). (stem, url, error) of every page; files are written as the
+    result is read, and writing one again replaces it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        where, folder = fs.FileSystem.from_uri(path)
+        where.create_dir(folder, recursive=True)
+        for b in batches:
+            for stem, body, sidecar, error in zip(b["stem"], b["body"], b["sidecar"], b["error"], strict=True):
+                if error is None:
+                    for end, said in ((".txt", body), (".tt.txt", sidecar)):
+                        with where.open_output_stream(f"{folder}/{stem}{end}") as out:
+                            out.write((said or "").encode("utf-8"))
+            yield b[["stem", "url", "error"]]
+
+    return fetched.mapInPandas(run, "stem string, url string, error string")
+
+
 def search(keywords: DataFrame, find: Callable[[str, int, str], list[dict]], most: int = 5, search_in: str = "title") -> DataFrame:
     """(keyword, title, url, trang_thai, ngay_ban_hanh, ngay_hieu_luc): what a given portal search finds. Document
     numbers are searched as numbers."""
@@ -126,13 +184,48 @@ def http_generator(url: str, model: str, timeout: float = 120.0, options: dict |
 
 
 # snapshots
-def save_graph(graph: Graph, path: str) -> None:
-    """A new snapshot of all tables. It becomes the current one by its marker, written last."""
+def _fs(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.sc().hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _fs(spark, path)
+    return fs.exists(where)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.delete(where, True)
+
+
+def replace(df: DataFrame, path: str) -> None:
+    """Writes df to path, which df may be read from: beside it first, then in its place."""
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    settle(df.sparkSession, path)
+
+
+def settle(spark: SparkSession, path: str) -> None:
+    """Finishes a replace that was cut off between its two steps."""
+    fs, where = _fs(spark, path)
+    new = _fs(spark, f"{path}.new")[1]
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS")):
+        fs.delete(where, True)
+        fs.rename(new, where)
+
+
+def save_graph(graph: Graph, path: str, keep: int = 2) -> None:
+    """A new snapshot of all tables. It becomes the current one by its marker, written last; of the older ones the last
+    keep - 1 stay, for those who still read them."""
     spark = next(iter(graph.values())).sparkSession
     stamp = f"{path}/snapshot-{time.time_ns()}"
     for name, df in graph.items():
         df.write.parquet(f"{stamp}/{name}")
     spark.createDataFrame([(stamp,)], "stamp string").coalesce(1).write.mode("append").parquet(f"{path}/current")
+    fs, where = _fs(spark, path)
+    held = sorted(str(f.getPath()) for f in fs.listStatus(where) if f.getPath().getName().startswith("snapshot-"))
+    for old in held[: max(len(held) - keep, 0)]:
+        delete(spark, old)
 
 
 def load_graph(spark: SparkSession, path: str) -> Graph:
@@ -140,6 +233,19 @@ def load_graph(spark: SparkSession, path: str) -> Graph:
     return {name: spark.read.schema(schema).parquet(f"{stamp}/{name}") for name, (schema, _) in TABLES.items()}
 
 
+def save_delta(graph: Graph, path: str, batch: int) -> None:
+    """What one batch wrote; the same batch again replaces it."""
+    for name, df in graph.items():
+        df.write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+
+
+def load_deltas(spark: SparkSession, path: str) -> dict[str, DataFrame] | None:
+    """All deltas, with batch; None where there is none."""
+    if not exists(spark, path):
+        return None
+    return {name: spark.read.schema(f"{schema}, batch long").parquet(f"{path}/{name}") for name, (schema, _) in TABLES.items()}
+
+
 VECTORS = "vec_id string, doc_id string, so_dieu int, document string, embedding array<float>"
 
 

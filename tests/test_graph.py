@@ -116,3 +116,34 @@ def test_collisions(spark):
     assert rows(g.without_collisions(df), "article_id", "path") == [("a", "p1"), ("b", "p3")]
     with pytest.raises(Exception, match="different texts for a"):
         g.without_collisions(df.union(df.sparkSession.createDataFrame([("a", "p0", "other")], df.schema))).collect()
+
+
+def test_queries_with_parameters(spark, base):
+    got = g.run(base, "SELECT article_id FROM {article} WHERE article_id <> :skip ORDER BY 1", skip="a1' OR '1' = '1")
+    assert rows(got, "article_id") == [("a1",), ("a2",)]
+    assert g.run(base, "SELECT count(*) AS n FROM {references}").first().n == 0
+
+
+def test_write_orders_of_any_size(spark):
+    old = spark.createDataFrame([("k", "old")], "id string, v string")
+    new = spark.createDataFrame([("k", "first", 1, 250_000), ("k", "last", 2, 0), ("k", "mid", 1, 900_000)], "id string, v string, a int, b int").select("id", "v", F.struct("a", "b").alias("seq"))
+    assert rows(g.merge(old, new, ["id"], last=["v"]), "v") == [("last",)] and rows(g.merge(old, new, ["id"], first=["v"]), "v") == [("old",)]
+    assert rows(g.merge(old.limit(0), new, ["id"], first=["v"]), "v") == [("first",)]
+
+
+def test_deltas_combine_like_merges_in_their_order(spark, base):
+    graphs = [g.upsert_references(base, refs(spark, ("a1", "x", "one"), ("a2", "a1", "two"))), g.empty(spark)]
+    later = spark.createDataFrame([("d", None, "x", 9, "now real", 0)], "doc_id string, chapter_id string, article_id string, so_dieu int, noi_dung_preview string, seq long")
+    docs = spark.createDataFrame([("d", "renamed", "b2", 0)], "doc_id string, title string, batch_id string, seq long")
+    graphs.append(g.upsert_articles(g.upsert_documents(g.empty(spark), docs), later))
+    graphs[2] = g.upsert_references(graphs[2], refs(spark, ("x", "a2", "three")))
+    deltas = {}
+    for i, graph in enumerate(graphs):
+        for name, df in graph.items():
+            df = df.withColumn("batch", F.lit(i).cast("long"))
+            deltas[name] = deltas[name].unionByName(df) if name in deltas else df
+    out = g.combine(deltas)
+    want = g.upsert_references(g.upsert_articles(g.upsert_documents(graphs[0], docs), later), refs(spark, ("x", "a2", "three")))
+    for name in g.TABLES:
+        assert out[name].columns == want[name].columns and rows(out[name], "*") == rows(want[name], "*"), name
+    assert ("x", False) in rows(out["article"], "article_id", "is_external")

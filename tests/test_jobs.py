@@ -2,9 +2,10 @@ import json
 
 import pytest
 
+from quillon import __main__ as cli
 from quillon import config
 from quillon.operators import graph as g
-from quillon.plans import jobs
+from quillon.plans import jobs, migration
 from quillon.sources import files
 from quillon.streaming import ingest
 
@@ -99,7 +100,7 @@ def test_fetch_retries_and_tolerates(spark):
 def test_questions(spark, tmp_path):
     p = tmp_path / "q.json"
     p.write_text(json.dumps({"_note": "x", "questions": [{"question": "a", "gold_article_ids": ["1"]}, {"question": "b", "gold_article_ids": []}]}))
-    assert rows(files.questions(spark, str(p)), "question", "gold_article_ids") == [("a", ["1"]), ("b", [])]
+    assert rows(files.questions(spark, str(p)), "at", "question", "gold_article_ids") == [(0, "a", ["1"]), (1, "b", [])]
 
 
 def write(folder, name, text):
@@ -136,8 +137,110 @@ def test_resumable_ingest(spark, tmp_path):
 
 def test_batches_and_settings(spark, monkeypatch):
     df = spark.range(7)
-    assert [r.batch for r in jobs.batches(df, df.id, 3).orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2]
+    assert [r.batch for r in jobs.batches(df, "id", 3).orderBy("id").collect()] == [0, 0, 0, 1, 1, 1, 2]
     monkeypatch.setenv("QUILLON_MAX_HOP", "3")
     monkeypatch.setenv("QUILLON_RERANK_ENABLED", "False")
     s = config.load(spark)
     assert (s.max_hop, s.rerank_enabled, s.similarity_threshold) == (3, False, 0.65)
+
+
+def test_texts_of_one_title_are_merged_in_file_order(spark, tmp_path):
+    d = tmp_path / "same"
+    d.mkdir()
+    for stem, said in (("b", "hai"), ("a", "một")):
+        write(d, f"{stem}.txt", f"# Chung\nChương I\nTên {stem}\nĐiều 1. {said}\n1. khoản {stem}\nĐiều {2 if stem == 'a' else 3}. riêng\nx")
+    graph, articles = jobs.ingest_documents(g.empty(spark), files.document_files(spark, str(d)), "b")
+    assert rows(graph["article"], "article_id", "noi_dung_preview")[0] == ("chung_dieu-1", "hai\n1. khoản b") and graph["article"].count() == 3
+    assert rows(graph["chapter"], "tieu_de") == [("Tên b",)] and rows(graph["clause"], "noi_dung") == [("khoản b",)]
+    assert rows(jobs.embed_articles(articles, encoder), "vec_id", "document")[0] == ("chung_dieu-1", "hai\n1. khoản b")
+
+
+def test_a_blank_article_needs_no_vector(spark, tmp_path):
+    d = tmp_path / "blank"
+    d.mkdir()
+    write(d, "a.txt", "Luật số 1/2020/QH14\nĐiều 1.\n\nĐiều 2. Có\nx")
+    graph, vectors = jobs.build_corpus(spark, files.document_files(spark, str(d)), encoder, str(tmp_path / "g"), str(tmp_path / "v"))
+    assert graph["article"].count() == 2 and vectors.count() == 1
+
+
+def test_page_files_are_read_back(spark, tmp_path):
+    entries = files.catalogue(spark, [{"url": "h/a--1"}, {"url": "h/bad--2"}, {"url": "h/c"}])
+    fetched = files.fetch_pages(entries, lambda url: (f"thân {url}", "Số hiệu") if "bad" not in url else 1 / 0, tries=1, pause=0)
+    out = files.write_page_files(fetched, str(tmp_path / "pages"))
+    assert [(r.stem, r.error is None) for r in out.orderBy("stem").collect()] == [("a", True), ("bad", False), ("c", True)]
+    assert rows(files.document_files(spark, str(tmp_path / "pages")), "stem", "body", "sidecar") == [("a", "thân h/a--1", "Số hiệu"), ("c", "thân h/c", "Số hiệu")]
+
+
+def test_pages_as_a_data_source(spark):
+    spark.dataSource.register(files.fetch_source("own_pages", lambda url: (url.upper(), "s") if "bad" not in url else 1 / 0, tries=1, pause=0))
+    got = spark.read.format("own_pages").option("urls", "h/x--1\n\nh/bad\n").load()
+    assert sorted((r.stem, r.body, r.error is None) for r in got.collect()) == [("bad", None, False), ("x", "H/X--1", True)]
+
+
+def corpus(folder, n):
+    folder.mkdir()
+    for i in range(1, n + 1):
+        write(folder, f"5_2020_tt-bxd_{i}.md", f"# Điều {i}. Tên {i}\n\n1. Theo Điều {i % n + 1} và Điều 9 Nghị định 1/2019/NĐ-CP")
+
+
+def test_ingest_keeps_no_deltas_and_few_snapshots(spark, tmp_path):
+    d, state = tmp_path / "md", str(tmp_path / "state")
+    corpus(d, 3)
+    graph = ingest.run_ingest(spark, str(d), state, 2)
+    assert ingest.run_ingest(spark, str(d), str(tmp_path / "trial"), 2, limit=1)["clause"].count() == 1
+    files.save_graph(graph, f"{state}/graph")
+    files.save_graph(graph, f"{state}/graph")
+    assert not (tmp_path / "state" / "delta").exists() and len(list((tmp_path / "state" / "graph").glob("snapshot-*"))) == 2
+    graph = files.load_graph(spark, f"{state}/graph")  # older snapshots are gone
+    once = jobs.ingest_chunks(g.empty(spark), files.article_files(spark, str(d)).select("stem", "body"), "batch-0")
+    for name in ("article", "references", "clause", "belongs_to"):
+        assert rows(graph[name], "*") == rows(once[name], "*")
+
+
+def test_migration_dry_run_apply_and_resume(spark, tmp_path):
+    d, state, vectors = tmp_path / "md", str(tmp_path / "state"), str(tmp_path / "vectors")
+    corpus(d, 3)
+    graph = ingest.run_ingest(spark, str(d), state, 200)
+    spark.createDataFrame([("5-2020-tt-bxd_dieu-1",), ("5-2020-tt-bxd_dieu-2#khoan-1",), ("gone_dieu-1",)], "vec_id string").write.parquet(vectors)
+    dry = migration.run_migration(spark, str(d), state, vectors)
+    assert dry["before"] == dry["after"] and dry["before"]["references"] == 6 and rows(files.load_graph(spark, f"{state}/graph")["references"], "*") == rows(graph["references"], "*")
+
+    def killed(*_):
+        raise RuntimeError("killed")
+
+    with pytest.raises(RuntimeError, match="killed"):
+        migration.run_migration(spark, str(d), state, vectors, apply=True, reingest=killed)
+    assert files.load_graph(spark, f"{state}/graph")["references"].count() == 0  # seen to be unfinished
+    with pytest.raises(ValueError, match="no checkpoint"):
+        migration.run_migration(spark, str(d), state, vectors, resume=True)
+
+    ingest.write_manifest(spark, state, 0, 200)
+    out = migration.run_migration(spark, str(d), state, vectors, resume=True)
+    assert out["before"]["references"] == 0 and out["after"]["references"] == 6 and out["after"]["real_articles"] == 3
+    assert rows(spark.read.parquet(vectors), "vec_id") == [("5-2020-tt-bxd_dieu-1",), ("5-2020-tt-bxd_dieu-2#khoan-1",)]
+    for p in d.glob("*.md"):
+        p.unlink()
+    write(d, "7_2021_tt-bxd_1.md", "# Điều 1. Khác\n\nx")
+    with pytest.raises(ValueError, match="would be stale"):
+        migration.run_migration(spark, str(d), state, vectors, apply=True)
+
+
+def test_command_line(spark, tmp_path, monkeypatch):
+    docs = tmp_path / "docs"
+    docs.mkdir()
+    write(docs, "luat-1.txt", LAW)
+    monkeypatch.setenv("QUILLON_GRAPH_PATH", str(tmp_path / "graph"))
+    monkeypatch.setenv("QUILLON_VECTOR_PATH", str(tmp_path / "vectors"))
+    assert cli.main(["build", str(docs), "--encoder", "tests.test_jobs:encoder"], spark)["vectors"] == 3
+    q = tmp_path / "q.json"
+    q.write_text(json.dumps({"questions": [{"question": "a" * 70, "gold_article_ids": ["1-2020-qh14_dieu-1"]}, {"question": "b", "gold_article_ids": []}]}))
+    out = cli.main(["evaluate", str(q), "--encoder", "tests.test_jobs:encoder"], spark)
+    assert out[0]["n"] == 1 and out[0]["recall10"] == 1.0
+    called = []
+    monkeypatch.setattr(cli.ingest, "run_ingest", lambda sp, source, state, size, limit=None: called.append((source, state, size, limit)) or {})
+    monkeypatch.setattr(cli.migration, "run_migration", lambda sp, source, state, vectors, **k: called.append((source, state, k["apply"], k["resume"])) or {})
+    cli.main(["ingest", "d", "--state", "s", "--limit", "3"], spark)
+    cli.main(["migrate", "d", "--state", "s", "--resume"], spark)
+    assert called == [("d", "s", 200, 3), ("d", "s", False, True)]
+    with pytest.raises(SystemExit):
+        cli.main(["nothing"], spark)

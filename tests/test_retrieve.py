@@ -135,12 +135,13 @@ def test_rank_metrics(spark):
     m = evaluate.rank_metrics(q, r)
     assert sorted(rows(m, "query_id", "rank", "hit5", "hit10", "rr")) == [(1, 2, True, True, 0.5), (2, None, False, False, 0.0), (3, 7, False, True, 1 / 7)]
     s = evaluate.summary(m).first()
-    assert (s.n, s.recall10, s.misses) == (3, 2 / 3, [2]) and evaluate.summary(m.limit(0)).first().mrr is None
+    assert (s.n, s.recall10) == (3, 2 / 3) and evaluate.summary(m.limit(0)).first().mrr is None
+    assert rows(evaluate.misses(m), "query_id") == [(2,)]
 
 
 def test_question_set(spark):
-    one = spark.createDataFrame([("q1", ["a"]), ("q2", [])], "question string, gold array<string>")
-    two = spark.createDataFrame([("q1", ["b", "c"]), ("q3", ["d", "e"])], "question string, gold array<string>")
+    one = spark.createDataFrame([(0, "q1", ["a"]), (1, "q2", [])], "at int, question string, gold array<string>")
+    two = spark.createDataFrame([(2, "q3", ["x"]), (0, "q1", ["b", "c"]), (1, "q3", ["d", "e"])], "at int, question string, gold array<string>").repartition(3)
     got = evaluate.question_set(one, two)
     assert sorted(rows(got, "question", "gold")) == [("q1", ["a"]), ("q3", ["d", "e"])] and rows(evaluate.multi_hop(got), "question") == [("q3",)]
 
@@ -162,3 +163,45 @@ def test_scorers(spark, kind, said, gold, ok):
 def test_free_text(spark):
     df = spark.createDataFrame([("được 06 tháng lương", ["6 THÁNG", "lương"], ["x"], ["y", "x"])], "a string, k array<string>, r array<string>, g array<string>")
     assert tuple(df.select(evaluate.score_free(df.a, df.k, df.r, df.g).alias("v")).first().v) == (True, True)
+
+
+def test_answers_in_decomposed_letters_are_scored_alike(spark):
+    import unicodedata
+
+    for said in ("Không đúng", "Câu này ĐÚNG.", "Ngoài phạm vi của dữ liệu", "Đáp án chính xác là B", "ưỡng ậ ẵ Ệ ỷ ữ"):
+        split = unicodedata.normalize("NFD", said)
+        df = spark.createDataFrame([(said, split)], "a string, b string")
+        got = df.select(*[evaluate.text.answer_form(df[c]).alias(c) for c in "ab"], evaluate.choice(df.b).alias("c"), evaluate.score_refusal(df.b).alias("r")).first()
+        assert split != said and got.a == got.b == said.lower() and (got.c == "B") == ("B" in said) and got.r == ("phạm" in said)
+
+
+def ring(spark):
+    v = spark.createDataFrame([("a_dieu-1", [1.0, 0.0]), ("b_dieu-1", [0.9, 0.1]), ("c_dieu-1", [0.0, 1.0])], "vec_id string, embedding array<float>")
+    texts = spark.createDataFrame([("a_dieu-1", "nội dung a"), ("c_dieu-1", "nội dung c!!")], "article_id string, full_text string")
+    questions = spark.createDataFrame(
+        [(1, "hỏi", [1.0, 0.0], "free_text", None, ["Theo"], ["c_dieu-1", "z"]), (2, "hỏi", [0.0, 1.0], "out_of_scope", None, [], [])],
+        "query_id long, question string, embedding array<float>, type string, answer string, key_facts array<string>, gold array<string>",
+    )
+    return questions, v, graph_of(spark, [("a_dieu-1", "c_dieu-1")]), texts
+
+
+def test_runs_over_an_eval_set(spark):
+    from quillon.config import Settings
+
+    questions, v, graph, texts = ring(spark)
+    m = evaluate.run_retrieval(questions.filter("query_id = 1"), v, graph, texts).first()
+    assert (m["rank"], m.hit5) == (3, True)  # found by the graph alone
+    out = evaluate.run_ablation(questions.filter("query_id = 1"), v, graph, texts, lambda: scorer(), Settings(similarity_threshold=0.65))
+    assert sorted(rows(out, "config", "subset", "n", "recall5", "mrr")) == sorted((c, s, 1, r, m) for s in ("all", "multi_hop") for c, r, m in (("dense", 0.0, 0.0), ("dense_graph", 1.0, 1 / 3), ("dense_graph_rerank", 1.0, 1.0)))
+    scored = {r.query_id: r for r in evaluate.run_qa(questions, v, graph, texts, lambda: speaker(), threshold=0.65).collect()}
+    assert scored[1].ranked == ["a_dieu-1", "b_dieu-1", "c_dieu-1"] and scored[1].correct and scored[1].retrieved
+    assert not scored[2].correct and scored[2].retrieved is None
+
+
+def test_settings_are_the_defaults_of_retrieval(spark):
+    from quillon.config import Settings
+
+    questions, v, graph, texts = ring(spark)
+    ids = lambda **k: [r.article_id for r in retrieve.retrieve(questions.filter("query_id = 1"), v, graph, texts, **k)["ranked"].orderBy("pos").collect()]
+    assert ids() == ["a_dieu-1", "b_dieu-1", "c_dieu-1"] and ids(settings=Settings(max_context_articles=2)) == ids(limit=2) == ["a_dieu-1", "b_dieu-1"]
+    assert ids(settings=Settings(max_hop=0, similarity_threshold=0.999)) == ["a_dieu-1"]
