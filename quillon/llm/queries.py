@@ -113,8 +113,8 @@ s AS (SELECT rid, doc_id, CASE WHEN length(w) = 0 THEN [] WHEN length(w) < 4 THE
 x AS (SELECT rid, length(shingles) AS n, unnest(shingles) AS shingle FROM s),
 pairs AS (SELECT a.rid AS a, b.rid AS b, a.n + b.n AS n, count(*) AS shared FROM x a JOIN x b ON a.shingle = b.shingle AND a.rid < b.rid GROUP BY ALL),
 links AS (SELECT a, b FROM pairs WHERE 100 * shared >= 80 * (n - shared)),
-both AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-reach(rid, r) AS (SELECT rid, rid FROM s UNION SELECT reach.rid, both.b FROM reach JOIN both ON both.a = reach.r),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(rid, r) AS (SELECT rid, rid FROM s UNION SELECT reach.rid, sides.b FROM reach JOIN sides ON sides.a = reach.r),
 least AS (SELECT reach.rid, min(s.doc_id) AS component_id FROM reach JOIN s ON s.rid = reach.r GROUP BY reach.rid)
 SELECT s.doc_id, CAST(length(shingles) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN least ON least.rid = s.rid
 """
