@@ -35,7 +35,7 @@ from quillon.llm.boosting import Trees, fit_trees
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+|[^<>]*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 #: Decimal character references, whose digits may be any number.
-DECIMAL = re.compile(r"&#0*([0-9]+)")
+DECIMAL = re.compile(r"&#0*([0-9]+);?")
 #: Elements whose content is never text of the page.
 SKIPPED = frozenset("script style noscript template title iframe object canvas audio video textarea select button datalist desc metadata annotation annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,7 +80,7 @@ def unescaped(text: str) -> str:
     """Character references decoded; numbers beyond all characters are U+FFFD, however long."""
     if "&" not in text:
         return text
-    return html.unescape(DECIMAL.sub(lambda m: f"&#{m[1]}" if len(m[1]) < 8 else "&#1114112;", text))
+    return html.unescape(DECIMAL.sub(lambda m: f"&#{m[1]};" if len(m[1]) < 8 else "&#1114112;", text))
 
 
 class Open:
