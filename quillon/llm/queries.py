@@ -162,7 +162,7 @@ f AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict,
       FROM c JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
 terms(term, weight) AS (VALUES {terms}),
 t AS (SELECT page_id, count(*) FILTER (WHERE weight IS NULL) AS n_strict, count(*) FILTER (WHERE weight IS NOT NULL) AS n_soft, sum(weight) AS w
-      FROM c JOIN terms ON regexp_matches(lower(url), '(^|[^\pL\pN])' || term || '($|[^\pL\pN])') GROUP BY page_id)
+      FROM c JOIN terms ON CASE WHEN contains(lower(url), term) THEN regexp_matches(lower(url), '(^|[^\pL\pN])' || term || '($|[^\pL\pN])') END GROUP BY page_id)
 SELECT c.page_id, host, path, rule,
        coalesce(f.verdict, CASE WHEN coalesce(n_strict, 0) > 0 OR (coalesce(n_soft, 0) > 1 AND w >= 2) THEN 'block' ELSE 'allow' END) AS verdict,
        CAST(coalesce(n_strict, 0) AS BIGINT) AS n_strict, CAST(coalesce(n_soft, 0) AS BIGINT) AS n_soft
