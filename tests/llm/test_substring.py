@@ -121,3 +121,16 @@ def test_words_decide_where_hashes_collide(spark, bits):
     spans = {r.doc_id: [s.asDict() for s in r.spans] for r in substring.repeated_spans(df, few, 20).collect()}
     got = sorted((i, *substring.cut(t, spans.get(i, []), 20)[:2]) for i, t in rows)
     assert got == [x[:3] for x in brute(rows, 20)]
+
+
+@pytest.mark.parametrize("bits", [0, 3, 9])
+def test_collided_hashes_lose_no_window(spark, bits):
+    rng = random.Random(bits + 50)
+    passages = [[f"w{rng.randrange(90)}" for _ in range(rng.randrange(30, 120))] for _ in range(6)]
+    rows = [(i, " ".join(f"u{rng.randrange(500)}" for _ in range(20)) + " " + " ".join(rng.choice(passages)[rng.randrange(6) :])) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    runs = substring.document_runs(df, 20, 6)
+    few = runs.withColumn("runs", substring.F.transform("runs", lambda r: r.withField("content", r["content"].bitwiseAND((1 << bits) - 1))))
+    spans = {r.doc_id: [s.asDict() for s in r.spans] for r in substring.repeated_spans(df, few, 20).collect()}
+    got = sorted(((i, *substring.cut(t, spans.get(i, []), 20)[:2]) for i, t in rows), key=repr)  # in the order of brute()
+    assert got == [x[:3] for x in brute(rows, 20)]
