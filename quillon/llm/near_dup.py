@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialize
+from quillon.llm.common import materialize, rows_at_once
 from quillon.llm.components import components
-from quillon.llm.tokens import U64, chunks, mix
+from quillon.llm.tokens import U64, chunks, mix, pieces
 
 RING_BITS = 20
 
@@ -55,7 +55,7 @@ def signature(shingles: np.ndarray, k: int) -> np.ndarray:
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text; of a text shorter than width, one for all its words."""
-    for _, rows, w in chunks(texts, fold=True):
+    for _, rows, w in chunks(texts, fold=True, most=1 << 18):
         hashes, at = w.windows(width)
         edges = np.searchsorted(at, w.first)
         for i in range(rows):
@@ -82,7 +82,7 @@ def signed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = mix(np.arange(1, bands + 1, dtype=U64))
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             sizes, classes, keys = [], [], []
             for s in shingle_sets(b.column("text"), width):
                 sizes.append(len(s))
@@ -107,7 +107,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(cls, set) for the classes of wanted (cls, doc_id, text_key, copies): a text that has each, hashed again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole)):
             sets = [s.view(np.int64) for s in shingle_sets(b.column("text"), width)]
             yield pa.RecordBatch.from_arrays([b.column("cls"), pa.array(sets, pa.list_(pa.int64()))], ["cls", "set"])
 
@@ -178,7 +178,8 @@ def verdicts(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32
     """A row per row of docs: doc_id, text_key, n_shingles, label (of its component; null for an empty set),
     component_id (least doc_id reachable), kept. With exact, all classes go to the prefix join, those
     that share no bucket too, and no link can be missed."""
-    base = materialize(signed(docs, width, bands, rows), "near-dup-bands")
+    with rows_at_once(docs.sparkSession):
+        base = materialize(signed(docs, width, bands, rows), "near-dup-bands")
     exploded = base.filter("cls IS NOT NULL").select("cls", F.explode("bands").alias("band"))
     shared = exploded.groupBy("band").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("band")
     shared = materialize(shared, "near-dup-shared")  # so that the join's shuffles are plain ones, and hot buckets split
@@ -187,7 +188,8 @@ def verdicts(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = 32
     named = named if exact else named.join(members.select("cls").distinct(), "cls")
     wanted = named.groupBy("cls", "doc_id", "text_key").agg(F.count("*").alias("copies")).groupBy("cls").agg(F.min(F.struct("doc_id", "text_key", "copies")).alias("one"))
     wanted = materialize(wanted.select("cls", "one.*"), "near-dup-wanted")
-    sets = materialize(sets_of(docs, wanted, width), "near-dup-sets")
+    with rows_at_once(docs.sparkSession):
+        sets = materialize(sets_of(docs, wanted, width), "near-dup-sets")
     edges = materialize(verified(stars(members), sets, percent), "near-dup-links")
     labels = components(edges).withColumnRenamed("node", "cls")
     labelled = members.join(labels, "cls", "left").withColumn("label", F.coalesce("label", "cls"))

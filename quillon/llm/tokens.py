@@ -12,6 +12,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 _ODD = 0x9E3779B97F4A7C15
@@ -115,3 +116,14 @@ def chunks(texts: pa.Array, fold: bool, most: int = 1 << 20) -> Iterator[tuple[i
         lo, hi = bounds[row], bounds[upto]
         yield row, upto - row, words_of(data[lo:hi], bounds[row : upto + 1] - lo, fold)
         row = upto
+
+
+def pieces(batch: pa.RecordBatch, column: str = "text", most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in order, in runs of about ``most`` bytes of a column, so that what is built for
+    a run stays small however long texts are; a longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < batch.num_rows:
+        upto = max(row + 1, int(np.searchsorted(size, (size[row - 1] if row else 0) + most, "right")))
+        yield batch.slice(row, upto - row)
+        row = upto

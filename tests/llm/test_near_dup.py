@@ -1,6 +1,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -133,3 +134,28 @@ def test_a_chain_of_any_length_is_one_component(spark):
     edges = spark.range(400).selectExpr("id AS a", "id + 1 AS b").union(spark.range(300).selectExpr("5000 AS a", "id + 6000 AS b"))
     got = {r.node: r.label for r in components(edges).collect()}
     assert len(got) == 702 and all(v == (0 if k <= 400 else 5000) for k, v in got.items())
+
+
+def test_python_works_on_small_parts_of_a_batch(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", "x"] + [" ".join(f"w{rng.randrange(9000)}" for _ in range(rng.choice([3, 400, 1500]))) for _ in range(1500)] + ["long " * 900_000, "é É"]
+    df = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    functions, parts, plain, frame = [], [], near_dup.shingle_sets, type(df)
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, schema: functions.append(f) or self)
+    near_dup.signed(df, 5, 32, 5)
+    near_dup.sets_of(df, df.selectExpr("doc_id", "doc_id AS text_key", "text AS cls", "doc_id AS copies"), 5)
+    monkeypatch.setattr(near_dup, "shingle_sets", lambda t, width: parts.append((len(t), sum(len((x or "").encode()) for x in t.to_pylist()))) or plain(t, width))
+    whole = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts), pa.array(range(len(texts))), pa.array([b"c"] * len(texts))], ["doc_id", "text", "text_key", "cls"])
+    signed, sets = (pa.Table.from_batches(f(iter([whole.slice(0, 0), whole.slice(1)]))) for f in functions)
+    assert len(parts) > 6 and all(rows == 1 or size <= 1 << 21 for rows, size in parts)
+    want = [len(s) for s in plain(whole.column("text").slice(1), 5)]
+    assert signed.column("doc_id").to_pylist() == list(range(1, len(texts)))
+    assert signed.column("n_shingles").to_pylist() == want == [len(s) for s in sets.column("set").to_pylist()]
+
+
+def test_python_gets_few_rows_at_once(spark, monkeypatch):
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, near_dup.materialize
+    before = spark.conf.get(key)
+    monkeypatch.setattr(near_dup, "materialize", lambda df, label: seen.setdefault(label, int(spark.conf.get(key))) and plain(df, label))
+    assert near_dup.near_duplicates(spark.createDataFrame([(1, "a b"), (2, "A b")], "doc_id long, text string")).count() == 2
+    assert seen["near-dup-bands"] <= 1000 and seen["near-dup-sets"] <= 1000 and spark.conf.get(key) == before
