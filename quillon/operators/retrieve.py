@@ -8,7 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ Scorer = Callable[[list[str], list[str]], list[float]]
 Generator = Callable[[str], str]
 #: Queries whose vectors are broadcast at most; beyond, blocks of about QUERY_BLOCK queries each meet every part of the vectors.
 QUERY_BATCH, QUERY_BLOCK = 4096, 256
+#: Vectors in a pack, and pairs whose distances are summed at once.
+VECTOR_PACK, PAIRS = 1024, 16384
 
 
 def embed(df: DataFrame, column: str, encoder: Callable[[], Encoder], batch_size: int = DEFAULT.embed_batch_size, out: str = "embedding") -> DataFrame:
@@ -51,23 +57,122 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact: queries (query_id, embedding), vectors (vec_id, embedding) -> query_id, vec_id, distance, pos.
+def packed(df: DataFrame, id_column: str, rows: int) -> DataFrame:
+    """df (an id, embedding) in rows of at most so many: pack (a number), ids, embeddings."""
+    kind = df.schema[id_column].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = TaskContext.get().partitionId() << 32
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                part = whole.slice(at, rows)
+                one = [pa.array([pack], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), pa.concat_arrays([c])) for c in part.columns]]
+                yield pa.RecordBatch.from_arrays(one, ["pack", "ids", "embeddings"])
+                pack += 1
+
+    return df.select(id_column, F.col("embedding").cast("array<double>")).mapInArrow(run, f"pack long, ids array<{kind}>, embeddings array<array<double>>")
+
+
+class _Rows:
+    """Vectors of a pack: matrix, norms, unit vectors and kind: 0 has a direction, 1 has none, 2 isn't there or of another length."""
+
+    def __init__(self, ids: pa.Array, embeddings: pa.ListArray, width: int):
+        n = np.asarray(pc.fill_null(pc.list_value_length(embeddings), -1))
+        self.ids, self.x, self.kind = ids, np.zeros((len(n), width)), np.where(n == width, 0, 2)
+        flat = np.asarray(pc.list_flatten(embeddings.filter(pa.array(self.kind == 0))), dtype=float)
+        self.x[self.kind == 0] = flat.reshape(-1, width)
+        self.kind[(self.kind == 0) & np.isnan(self.x).any(axis=1)] = 2 if embeddings.values.null_count else 1
+        self.norm = np.sqrt(in_order(self.x, self.x))
+        self.kind[(self.kind == 0) & ~((self.norm > 0) & np.isfinite(self.norm))] = 1
+        self.unit = np.where(self.kind[:, None] == 0, self.x, 0) / np.where(self.kind == 0, self.norm, 1)[:, None]
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows, summed from the first product to the last as dot() does: the same doubles to the last bit."""
+    return np.add.accumulate(a * b, axis=1)[:, -1] if a.shape[1] else np.zeros(len(a))
+
+
+class _Best:
+    """The first k vectors of each query of a block, of those seen: by distance (NaN and then null last) and vec_id."""
+
+    def __init__(self, queries: _Rows, k: int):
+        self.queries, self.k, self.held = queries, k, None
+        self.least = np.full(len(queries.ids), -np.inf)  # similarity of the k-th
+
+    def see(self, v: _Rows) -> None:
+        q, k = self.queries, self.k
+        found = []
+        good = np.flatnonzero(v.kind == 0)
+        if len(good):
+            close = q.unit @ v.unit[good].T
+            least = self.least
+            if len(good) > k and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(close, len(good) - k, axis=1)[:, len(good) - k])
+            # a margin far above rounding: products of matrices only propose, sums in order decide
+            qi, vi = np.nonzero((close >= (least - 1e-9)[:, None]) & (q.kind == 0)[:, None])
+            vi = good[vi]
+            parts = [(qi[at : at + PAIRS], vi[at : at + PAIRS]) for at in range(0, len(qi), PAIRS)]
+            found += [(a, 1 - in_order(v.x[b], q.x[a]) / (v.norm[b] * q.norm[a]), v.ids.take(pa.array(b)), np.zeros(len(a), bool)) for a, b in parts]
+        for of in range(3):  # pairs without a distance: the first of them are enough
+            asked, kinds = np.flatnonzero(q.kind == of), np.maximum(v.kind, of)
+            if len(asked) and (odd := np.flatnonzero(kinds > 0)).size:
+                order = np.asarray(pc.sort_indices(pa.table({"kind": kinds[odd], "id": v.ids.take(pa.array(odd))}), sort_keys=[("kind", "ascending"), ("id", "ascending")]))
+                first = np.tile(odd[order[:k]], len(asked))
+                found.append((np.repeat(asked, min(k, len(odd))), np.full(len(first), np.nan), v.ids.take(pa.array(first)), kinds[first] == 2))
+        if found:
+            new = [pa.table({"q": a, "d": pa.array(d, mask=none), "id": i}) for a, d, i, none in found]
+            self.keep(pa.concat_tables(new if self.held is None else [self.held, *new]))
+
+    def keep(self, rows: pa.Table) -> None:
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("q", "ascending"), ("d", "ascending"), ("id", "ascending")])).combine_chunks()
+        q = np.asarray(rows["q"])
+        nth = np.arange(len(q)) - np.searchsorted(q, q)
+        self.held = rows.filter(pa.array(nth < self.k))
+        last = nth == self.k - 1
+        d = np.asarray(pc.fill_null(rows["d"], np.nan))[last]
+        self.least[q[last]] = np.where(np.isnan(d), -np.inf, 1 - d)
+
+
+def first_of_parts(pairs: DataFrame, k: int) -> DataFrame:
+    """pairs of packs (pack, q_ids, q, ids, v): query_id, vec_id, distance of the first k of each query in each task."""
+    of = lambda c: pairs.schema[c].dataType.elementType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, _Best] = {}
+        for b in batches:
+            for i in range(b.num_rows):
+                pack, q_ids, q, ids, v = (c[i] for c in b.columns)
+                if pack.as_py() not in best:
+                    width = max(pc.max(pc.list_value_length(q.values)).as_py() or 0, 0)
+                    best[pack.as_py()] = _Best(_Rows(q_ids.values, q.values, width), k)
+                block = best[pack.as_py()]
+                block.see(_Rows(ids.values, v.values, block.queries.x.shape[1]))
+        for block in best.values():
+            if block.held is not None:
+                for part in pa.table({"query_id": block.queries.ids.take(block.held["q"]), "vec_id": block.held["id"], "distance": block.held["d"]}).to_batches(10000):
+                    yield part
+
+    return pairs.select("pack", "q_ids", "q", "ids", "v").mapInArrow(run, f"query_id {of('q_ids').simpleString()}, vec_id {of('ids').simpleString()}, distance double")
 
-    Up to QUERY_BATCH queries meet all vectors in one pass: they lie on every executor and each vector is
-    scored where it is. More are dealt into blocks, and each pair of a block and a part of the vectors is a
-    task of its own, so that neither the driver nor a task holds all queries. The rank limit runs inside
-    each task first (a window group limit in the plan), so that k rows per query and task are shuffled,
-    never all scores.
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """Exact: queries (query_id, embedding), vectors (vec_id, embedding) -> query_id, vec_id, distance, pos. Vectors without
+    a direction (distance NaN) and those that aren't there or of another length (null) come last.
+
+    Both sides are packed, some hundred vectors a row, and a pair of packs is one product of matrices: it proposes
+    pairs with a margin, their distances are then summed in order. Up to QUERY_BATCH queries lie on every executor and
+    each vector is scored where it is. More are dealt into blocks, and each pair of a block and a part of the vectors
+    is a task of its own, so that neither the driver nor a task holds all queries. A task holds and gives k rows a query,
+    never all scores; the rank limit runs over these before the shuffle again (a window group limit in the plan).
     """
     batch = queries.count()
-    asked = queries.select("query_id", F.col("embedding").alias("q"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("q_norm"))
-    held = vectors.select("vec_id", F.col("embedding").alias("v"), F.sqrt(dot(F.col("embedding"), F.col("embedding"))).alias("v_norm"))
     many = batch > QUERY_BATCH
-    asked = asked.repartition(-(-batch // QUERY_BLOCK), "query_id").hint("shuffle_replicate_nl") if many else F.broadcast(asked)
-    scored = held.join(asked).select("query_id", "vec_id", (1 - dot(F.col("v"), F.col("q")) / (F.col("v_norm") * F.col("q_norm"))).alias("distance"))
-    pos = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
-    return scored.withColumn("pos", pos).filter(F.col("pos") <= k).select("query_id", "vec_id", "distance", "pos")
+    asked = packed(queries.select("query_id", "embedding").repartition(max(-(-batch // QUERY_BLOCK), 1)), "query_id", QUERY_BLOCK).toDF("pack", "q_ids", "q")
+    held = packed(vectors, "vec_id", VECTOR_PACK).select("ids", F.col("embeddings").alias("v"))
+    # every block of queries reads the packs again
+    pairs = materialize(held, "packed-vectors").join(asked.hint("shuffle_replicate_nl")) if many else held.join(F.broadcast(asked))
+    pos = F.row_number().over(Window.partitionBy("query_id").orderBy(F.asc_nulls_last("distance"), "vec_id"))
+    return first_of_parts(pairs, k).withColumn("pos", pos).filter(F.col("pos") <= k).select("query_id", "vec_id", "distance", "pos")
 
 
 def entry_points(hits: DataFrame, threshold: float, k: int) -> DataFrame:

@@ -1,4 +1,6 @@
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from quillon.functions import fixed
 from quillon.operators import evaluate, retrieve
@@ -205,3 +207,26 @@ def test_settings_are_the_defaults_of_retrieval(spark):
     ids = lambda **k: [r.article_id for r in retrieve.retrieve(questions.filter("query_id = 1"), v, graph, texts, **k)["ranked"].orderBy("pos").collect()]
     assert ids() == ["a_dieu-1", "b_dieu-1", "c_dieu-1"] and ids(settings=Settings(max_context_articles=2)) == ids(limit=2) == ["a_dieu-1", "b_dieu-1"]
     assert ids(settings=Settings(max_hop=0, similarity_threshold=0.999)) == ["a_dieu-1"]
+
+
+@pytest.mark.parametrize("batch", [4096, 20])
+def test_nearest_gives_the_doubles_and_ties_of_a_plain_comparison(spark, monkeypatch, batch):
+    monkeypatch.setattr(retrieve, "QUERY_BATCH", batch)
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 8)
+    v = spark.range(2500).selectExpr("concat('v', id) AS vec_id", "array(float(id % 3 - 1), float(id % 5 + 0.1), float(id % 7 / 3)) AS embedding").repartition(3)
+    q = v.filter("cast(substr(vec_id, 2) AS int) % 50 = 0").selectExpr("cast(substr(vec_id, 2) AS long) AS query_id", "embedding")
+    dot = retrieve.dot
+    plain = v.crossJoin(q.withColumnRenamed("embedding", "q")).select("query_id", "vec_id", (1 - dot(F.col("embedding"), F.col("q")) / (F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("q"), F.col("q"))))).alias("distance"))
+    want = plain.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))).filter("pos <= 40")
+    hits = retrieve.nearest(q, v, 40)
+    assert sorted(map(tuple, hits.collect())) == sorted(map(tuple, want.collect()))
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("MapInArrow") > plan.index("WindowGroupLimit")  # scores never meet a sort, only k rows a query and task do
+
+
+def test_vectors_without_a_direction_come_last(spark):
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("z", [0.0, 0.0]), ("n", None), ("l", [1.0]), ("b", [0.0, 1.0])], "vec_id string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<float>")
+    got = retrieve.nearest(q, v, 5).orderBy("pos").collect()
+    assert [r.vec_id for r in got] == ["a", "b", "z", "l", "n"] and got[2].distance != got[2].distance and got[3].distance is None
+    assert retrieve.nearest(q.limit(0), v, 5).count() == 0 == retrieve.nearest(q, v.limit(0), 5).count()
