@@ -115,3 +115,10 @@ def test_small_formats(spark):
     assert value(spark, text.url_slug(L("https://h/a/luat-so-1--uuid--x/"))) == "luat-so-1"
     got = value(spark, text.hit_metadata(L("PDF Trạng thái: Hết hiệu lực một phần Ngày ban hành: 14/12/2020 Ngày hiệu lực: 01/02/2021")))
     assert tuple(got) == ("Hết hiệu lực một phần", "14/12/2020", "01/02/2021") and tuple(value(spark, text.hit_metadata(L("x")))) == (None, None, None)
+
+
+def test_a_reply_is_parsed_once(spark):
+    df = spark.createDataFrame([('x {"relationship_type": "AMENDS", "confidence": true, "ly_do": "a } b"} y',), ("} {",), ("{",), (None,), ('{"relationship_type": "AMENDS", "confidence": "1", "ly_do": ""}',)], "r string")
+    read = df.select(text.relation_reply(F.col("r")).alias("r"))
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("parse_json") == 1
+    assert [r.r and tuple(r.r) for r in read.collect()] == [("AMENDS", 1.0, "a } b"), None, None, None, None]
