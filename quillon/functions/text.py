@@ -178,21 +178,21 @@ def preview(text: Column) -> Column:
 
 def iso_date(text: Column) -> Column:
     """The first "ngày D tháng M năm Y", else the first D/M/Y, as YYYY-MM-DD; no check of the calendar."""
-    out = F.lit(None).cast("string")
-    for pattern in (fixed.SLASH_DATE, fixed.LONG_DATE):
-        day, month, year = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
-        two = lambda x: F.lpad(x, 2, "0")
-        out = F.when(F.coalesce(text.rlike(pattern), F.lit(False)), F.concat(year, F.lit("-"), two(month), F.lit("-"), two(day))).otherwise(out)
-    return out
+    two = lambda x: F.lpad(x, 2, "0")
+    joined = lambda d: F.concat(F.get(d, F.lit(2)), F.lit("-"), two(F.get(d, F.lit(1))), F.lit("-"), two(F.get(d, F.lit(0))))
+    # a date has three numbers and no other digits: each pattern is matched once
+    read = lambda m: F.when(m != "", let(F.regexp_extract_all(m, F.lit(r"(?U)(\d+)"), F.lit(1)), joined))
+    found = lambda t: F.coalesce(let(F.regexp_extract(t, fixed.LONG_DATE, 0), read), F.when(t.contains("/"), let(F.regexp_extract(t, fixed.SLASH_DATE, 0), read)))
+    return let(text, found)
 
 
 def labelled_date(text: Column, label: str, labels: tuple[str, ...] = fixed.LABELS, window: int = fixed.LABEL_WINDOW) -> Column:
     """The date between a label and the next known label, within the window."""
-    at = F.locate(label, text)
-    start = at + len(label)
-    ends = [F.when(F.locate(other, text, 1) >= 0, F.call_function("locate", F.lit(other), text, start)) for other in labels if other != label]
-    end = F.least(start + window, *[F.when(e > 0, e).otherwise(start + window) for e in ends])
-    return F.when(at > 0, iso_date(F.substring(text, start, end - start)))
+    # a label that begins in the window ends the date there, wherever it ends itself
+    reach = window + max(map(len, labels))
+    before = lambda rest: F.left(rest, F.least(F.lit(window), *[F.nullif(F.locate(other, rest), F.lit(0)) - 1 for other in labels if other != label]))
+    dated = lambda at: F.when(at > 0, iso_date(let(F.substring(text, at + len(label), F.lit(reach)), before)))
+    return let(F.locate(label, text), dated)
 
 
 def effective_date(body: Column, sidecar: Column) -> Column:

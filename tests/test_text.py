@@ -120,5 +120,14 @@ def test_small_formats(spark):
 def test_a_reply_is_parsed_once(spark):
     df = spark.createDataFrame([('x {"relationship_type": "AMENDS", "confidence": true, "ly_do": "a } b"} y',), ("} {",), ("{",), (None,), ('{"relationship_type": "AMENDS", "confidence": "1", "ly_do": ""}',)], "r string")
     read = df.select(text.relation_reply(F.col("r")).alias("r"))
-    assert read._jdf.queryExecution().optimizedPlan().toString().count("parse_json") == 1
+    assert read._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "").count("parsejson") == 1
     assert [r.r and tuple(r.r) for r in read.collect()] == [("AMENDS", 1.0, "a } b"), None, None, None, None]
+
+
+def test_a_labelled_date_is_looked_for_once(spark):
+    said = ["Ngày có hiệu lực\n1/2/2020", "Ngày có hiệu lực " + "x" * 55 + "Người ký 1/2/2020", "Ngày có hiệu lực --\nNgày hết hiệu lực: 02/01/2030", "Ngày có hiệu lực ngày 3 tháng 12 năm 2021, 1/2/2020", "1/2/2020", None]
+    df = spark.createDataFrame([(x,) for x in said], "s string")
+    read = df.select(text.labelled_date(F.col("s"), "Ngày có hiệu lực").alias("d"))
+    assert [r.d for r in read.collect()] == ["2020-02-01", None, None, "2021-12-03", None, None]
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("th[áa]ng") == 1
