@@ -35,16 +35,19 @@ def embed(df: DataFrame, column: str, encoder: Callable[[], Encoder], batch_size
     """Adds the embedding of a column. encoder makes the model, once per worker; texts of like length
     go together, which keeps padding small."""
 
-    @F.pandas_udf("array<float>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def encoded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = encoder()
         for b in batches:
-            order = b.fillna("").str.len().sort_values(kind="stable").index
-            vectors: dict = {}
+            # texts stay in Arrow and vectors in four bytes a number: only those of one call are Python objects
+            texts = pc.fill_null(b, "")
+            order = np.argsort(np.asarray(pc.utf8_length(texts)), kind="stable")
+            vectors: list = [None] * len(order)
             for at in range(0, len(order), batch_size):
                 part = order[at : at + batch_size]
-                vectors |= dict(zip(part, model(b.loc[part].fillna("").tolist()), strict=True))
-            yield pd.Series([vectors[i] for i in b.index])
+                for i, v in zip(part, model(texts.take(pa.array(part)).to_pylist()), strict=True):
+                    vectors[i] = np.asarray(v, np.float32)
+            yield pa.array(vectors, pa.list_(pa.float32()))
 
     return df.withColumn(out, encoded(F.col(column)))
 

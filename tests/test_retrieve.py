@@ -230,3 +230,14 @@ def test_vectors_without_a_direction_come_last(spark):
     got = retrieve.nearest(q, v, 5).orderBy("pos").collect()
     assert [r.vec_id for r in got] == ["a", "b", "z", "l", "n"] and got[2].distance != got[2].distance and got[3].distance is None
     assert retrieve.nearest(q.limit(0), v, 5).count() == 0 == retrieve.nearest(q, v.limit(0), 5).count()
+
+
+def test_texts_stay_in_arrow_until_they_are_embedded(spark):
+    from pyspark.util import PythonEvalType
+
+    df = spark.createDataFrame([(i, None if i == 3 else "é" * (7 - i)) for i in range(7)], "i int, t string").coalesce(1)
+    out = retrieve.embed(df, "t", lambda: lambda texts: [[float(len(x)), float(len(texts)), float(x != min(texts, key=len))] for x in texts], batch_size=3)
+    # by length: null, 1 and 2 letters, then 3, 5 and 6, then 7
+    assert [tuple(r.embedding) for r in out.orderBy("i").collect()] == [(7.0, 1.0, 0.0), (6.0, 3.0, 1.0), (5.0, 3.0, 1.0), (0.0, 3.0, 0.0), (3.0, 3.0, 0.0), (2.0, 3.0, 1.0), (1.0, 3.0, 1.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rstrip().split("ArrowEvalPython")[1].split("\n")[0].endswith(f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}")
